@@ -25,6 +25,23 @@ def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digest(spark, path)
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from clausegraph.llm import chat, common
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    trial = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digest(common.materialise(chat.format_conversations(turns.unionByName(trial)), "chat"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausegraph.llm import topk
+
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausegraph.llm import packing
 
@@ -33,6 +50,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable": op1_sstable,
+    "op2_chat": op2_chat,
+    "op8_topk": op8_topk,
     "op10_packing": op10_packing,
 }
 
