@@ -42,6 +42,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausegraph.llm import neardup
+
+    return neardup.digest(neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausegraph.llm import topk
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable": op1_sstable,
     "op2_chat": op2_chat,
     "op4_mixing": op4_mixing,
+    "op5_neardup": op5_neardup,
     "op8_topk": op8_topk,
     "op10_packing": op10_packing,
 }
