@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegraph.llm import mixing
+from clausegraph.llm import licenses, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(common.materialise(chat.format_conversations(turns.unionByName(trial)), "chat"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
@@ -63,10 +67,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable": op1_sstable,
     "op2_chat": op2_chat,
+    "op3_licenses": op3_licenses,
     "op4_mixing": op4_mixing,
     "op5_neardup": op5_neardup,
     "op8_topk": op8_topk,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle(), "op4_mixing": mixing.oracle()}
