@@ -52,6 +52,19 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausegraph.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausegraph.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    return langid.digest(docs, langid.learn(docs, vocabulary("piece_bpe_32k.model")))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausegraph.llm import topk
 
@@ -70,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op4_mixing": op4_mixing,
     "op5_neardup": op5_neardup,
+    "op6_quality": op6_quality,
+    "op7_langid": op7_langid,
     "op8_topk": op8_topk,
     "op10_packing": op10_packing,
 }

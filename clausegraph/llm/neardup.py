@@ -53,16 +53,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words ``[^\\x20\\x09-\\x0D]+`` (A-Z as a-z) end to end, and offsets into them by text."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word ``[^\\x20\\x09-\\x0D]+`` of texts laid end to end starts and ends."""
     if len(data) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     space = _WORD_END[data]
     edge = offsets[(offsets > 0) & (offsets < len(data))]
     before, after = np.r_[True, space[:-1]], np.r_[space[1:], True]
     before[edge] = True
     after[edge - 1] = True
-    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+    return np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash by word, with A-Z as a-z."""
     out = np.empty(len(starts), np.uint64)
     k = 0
     while k < len(starts):  # stretches of bounded size, cut between words
@@ -72,7 +76,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         sums = np.r_[_U(0), np.cumsum(_BYTE[_LOWER[data[a:b]]] * up[: b - a])]
         out[k:stop] = (sums[ends[k:stop] - a] - sums[starts[k:stop] - a]) * down[starts[k:stop] - a]
         k = stop
-    return mix(out ^ (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)), np.searchsorted(starts, offsets)
+    return mix(out ^ (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words end to end, and offsets into them by text."""
+    starts, ends = word_spans(data, offsets)
+    return word_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingle_sets(values: pa.Array, size: int) -> Iterator[np.ndarray]:
