@@ -11,6 +11,7 @@ other shards' by its offset, and its rows are shuffled in the shard.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +21,7 @@ from clausegraph.llm.common import materialise
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
-BLOCK_WORDS, SHARD_BLOCKS = 4096, 256
+BLOCK_WORDS, SHARD_BLOCKS = 4096, 1024
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Sources stand in one array at each node of the tree; more than this raises.
 MAX_SOURCES = 1 << 16
@@ -83,34 +84,54 @@ def starts(rows: DataFrame) -> DataFrame:
     return inner.withColumn("start", F.col("start") + F.col("at1") + F.col("at2") + F.col("at3")).drop("b1", "b2", "b3", "at1", "at2", "at3")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once: a lambda's variable stands for it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hypergeometric(population: Column, marked: Column, drawn: Column, uniform: Column) -> Column:
     """Marked items among ``drawn`` of ``population``: the inverse of the distribution function, summed outwards from the
-    mode by the ratios of neighbouring probabilities; beyond 12 standard deviations nothing is left in double precision."""
-    big_n, big_k, n = (c.cast("double") for c in (population, marked, drawn))
-    low = F.greatest(F.lit(0.0), n - (big_n - big_k))
-    high = F.least(n, big_k)
-    mode = F.least(high, F.greatest(low, F.floor((n + 1) * (big_k + 1) / (big_n + 2)).cast("double")))
-    share = F.when(big_n > 0, big_k / big_n).otherwise(0.0)
-    reach = F.ceil(12 * F.sqrt(n * share * (1 - share)) + 12).cast("double")
-    low, high = F.greatest(low, mode - reach), F.least(high, mode + reach)
-    count = lambda c: F.when(c >= 1, F.sequence(F.lit(0), (c - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    up, down = count(high - mode), count(mode - low)
-    rise = lambda i: (big_k - mode - i) * (n - mode - i) / ((mode + i + 1) * (big_n - big_k - n + mode + i + 1))
-    fall = lambda i: (mode - i) * (big_n - big_k - n + mode - i) / ((big_k - mode + i + 1) * (n - mode + i + 1))
-    mass = lambda steps, ratio: F.aggregate(steps, F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("t")), lambda a, i: F.struct((a["p"] * ratio(i)).alias("p"), (a["t"] + a["p"] * ratio(i)).alias("t")))["t"]
-    above = mass(up, rise)
-    goal = uniform * (1.0 + above + mass(down, fall))
-
-    def walk(steps: Column, ratio, done: Column, sign: int) -> Column:
-        begin = F.struct(F.lit(1.0).alias("p"), done.alias("t"), F.lit(None).cast("double").alias("x"))
+    mode by the ratios of neighbouring probabilities; beyond 9 standard deviations nothing is left in double precision."""
 
-        def step(a: Column, i: Column) -> Column:
-            p = a["p"] * ratio(i)
-            return F.struct(p.alias("p"), (a["t"] + p).alias("t"), F.coalesce(a["x"], F.when(goal < a["t"] + p, mode + sign * (i + 1))).alias("x"))
+    def steps(count: Column) -> Column:
+        return F.when(count >= 1, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
-        return F.aggregate(steps, begin, step)["x"]
+    def rise(a: Column, i: Column) -> Column:
+        return (a["k"] - a["mode"] - i) * (a["n"] - a["mode"] - i) / ((a["mode"] + i + 1) * (a["rest"] - a["n"] + a["mode"] + i + 1))
 
-    found = F.when(goal < 1.0, mode).otherwise(F.coalesce(walk(up, rise, F.lit(1.0), 1), walk(down, fall, 1.0 + above, -1), low))
+    def fall(a: Column, i: Column) -> Column:
+        return (a["mode"] - i) * (a["rest"] - a["n"] + a["mode"] - i) / ((a["k"] - a["mode"] + i + 1) * (a["n"] - a["mode"] + i + 1))
+
+    def mass(a: Column, count: str, ratio: Callable[[Column, Column], Column]) -> Column:
+        begin = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("t"))
+        step = lambda s, i: let(s["p"] * ratio(a, i), lambda p: F.struct(p.alias("p"), (s["t"] + p).alias("t")))
+        return F.aggregate(steps(a[count]), begin, step)["t"]
+
+    def walk(a: Column, count: str, ratio: Callable[[Column, Column], Column], done: Column, sign: int) -> Column:
+        begin = F.struct(F.lit(1.0).alias("p"), done.alias("t"), F.lit(None).cast("double").alias("x"))
+        reached = lambda s, i, p: F.coalesce(s["x"], F.when(a["goal"] < s["t"] + p, a["mode"] + sign * (i + 1)))
+        step = lambda s, i: let(s["p"] * ratio(a, i), lambda p: F.struct(p.alias("p"), (s["t"] + p).alias("t"), reached(s, i, p).alias("x")))
+        return F.aggregate(steps(a[count]), begin, step)["x"]
+
+    def more(a: Column, **values: Column) -> Column:
+        return F.struct(*[a[c].alias(c) for c in fields], *[v.alias(c) for c, v in values.items()])
+
+    def limits(a: Column) -> Column:
+        low, high = F.greatest(F.lit(0.0), a["n"] - a["rest"]), F.least(a["n"], a["k"])
+        share = F.when(a["k"] + a["rest"] > 0, a["k"] / (a["k"] + a["rest"])).otherwise(0.0)
+        return F.struct(*[a[c].alias(c) for c in ("k", "rest", "n", "u")], low.alias("low"), high.alias("high"), F.ceil(9 * F.sqrt(a["n"] * share * (1 - share)) + 12).cast("double").alias("reach"))
+
+    def middle(a: Column) -> Column:
+        mode = F.least(a["high"], F.greatest(a["low"], F.floor((a["n"] + 1) * (a["k"] + 1) / (a["k"] + a["rest"] + 2)).cast("double")))
+        return F.struct(*[a[c].alias(c) for c in ("k", "rest", "n", "u", "low", "high", "reach")], mode.alias("mode"))
+
+    fields = ("k", "rest", "n", "u", "mode")
+    ends = lambda a: more(a, up=F.least(a["high"] - a["mode"], a["reach"]), down=F.least(a["mode"] - a["low"], a["reach"]))
+    sums = lambda a: more(a, up=a["up"], down=a["down"], above=mass(a, "up", rise), below=mass(a, "down", fall))
+    goal = lambda a: more(a, up=a["up"], down=a["down"], above=a["above"], goal=a["u"] * (1.0 + a["above"] + a["below"]))
+    find = lambda a: F.when(a["goal"] < 1.0, a["mode"]).otherwise(F.coalesce(walk(a, "up", rise, F.lit(1.0), 1), walk(a, "down", fall, 1.0 + a["above"], -1), a["mode"] - a["down"]))
+    begin = F.struct(marked.cast("double").alias("k"), (population - marked).cast("double").alias("rest"), drawn.cast("double").alias("n"), uniform.alias("u"))
+    found = let(begin, lambda a: let(limits(a), lambda b: let(middle(b), lambda c: let(ends(c), lambda d: let(sums(d), lambda e: let(goal(e), find))))))
     return found.cast("long")
 
 
@@ -121,7 +142,7 @@ def splitting_tree(sources: DataFrame, levels: int, seed: str) -> DataFrame:
         F.lit(0).cast("long").alias("shard"), F.col("e.key").alias("keys"), F.col("e.blocks").alias("quotas"), F.transform("e", lambda _: F.lit(0).cast("long")).alias("offsets"))
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     for level in range(levels):
-        if level and level % 8 == 0:
+        if level and level % 4 == 0:
             nodes = nodes.repartition(max(parts, min(1 << level, 10_000)), "shard")
         total = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, q: a + q)
         nodes = nodes.withColumn("total", total)
@@ -130,8 +151,8 @@ def splitting_tree(sources: DataFrame, levels: int, seed: str) -> DataFrame:
 
         def draw(a: Column, i: Column) -> Column:
             quota = F.element_at("quotas", i)
-            x = hypergeometric(a["n"], quota, a["take"], uniform(i))  # noqa: B023
-            return F.struct((a["n"] - quota).alias("n"), (a["take"] - x).alias("take"), F.array_append(a["left"], x).alias("left"))
+            drawn = hypergeometric(a["n"], quota, a["take"], uniform(i))  # noqa: B023
+            return let(drawn, lambda x: F.struct((a["n"] - quota).alias("n"), (a["take"] - x).alias("take"), F.array_append(a["left"], x).alias("left")))
 
         left = F.aggregate(F.sequence(F.lit(1), F.size("quotas")), zero, draw)["left"]
         nodes = nodes.withColumn("left", left)
