@@ -71,6 +71,12 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clausegraph.llm import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clausegraph.llm import packing
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_langid": op7_langid,
     "op8_topk": op8_topk,
+    "op9_neighbours": op9_neighbours,
     "op10_packing": op10_packing,
 }
 
