@@ -21,7 +21,7 @@ from clausegraph.llm.topk import matrix
 
 SHARD_NODES, NEIGHBOURS, REVERSE = 1 << 16, 24, 24
 TREES, BUCKET, ROUNDS, GAIN = 3, 256, 4, 8
-BEAM, ENTRIES, STEP, PART_QUERIES, BLOCK_QUERIES = 320, 512, 4, 512, 128
+BEAM, ENTRIES, STEP, PART_QUERIES, BLOCK_QUERIES = 448, 512, 4, 512, 128
 
 
 def usable(vectors: DataFrame) -> DataFrame:
