@@ -1,26 +1,66 @@
-"""The corpus pipeline: documents through five operators, each stage written and read again by its caller."""
+"""The corpus pipeline: documents through five operators; each stage is written as Parquet and read by the next.
+
+quality classifier (documents scored below the threshold go), language ID (documents without a determined language go),
+near-duplicates (one document of each group stays), mixing (documents repeat or go to meet the source targets), packing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clausegraph.llm import catalog, langid, mixing, neardup, packing, quality
+from clausegraph.llm.common import materialise
+
+QUALITY, LANGUAGE = 0.3, 0.5
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is ``QUALITY`` or more; labels come from the ``labels`` table beside the documents."""
+    model = quality.learn(docs, catalog.table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where(F.col("quality_score") >= QUALITY).drop("quality_score")
+
 
-from clausegraph.llm import catalog, packing
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is determined with a posterior of ``LANGUAGE`` or more."""
+    model = langid.learn(docs, catalog.vocabulary("piece_bpe_32k.model"))
+    named = langid.identify(docs, model)
+    return named.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") >= LANGUAGE)).drop("lang_pred", "lang_score")
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8."""
+    found = neardup.near_duplicates(docs, shingle=5, percent=80)
+    gone = materialise(found.where(~F.col("kept")).select("row_id"), "pipeline-gone")
+    if gone.count() <= neardup.BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.select("*", F.monotonically_increasing_id().alias("row_id")).join(gone, "row_id", "left_anti").drop("row_id")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per document and epoch that the mix takes. Of a document that a source's target cuts (one a source and epoch
+    at most) the first words stay, joined by single spaces; n_chars follows the text."""
+    taken = mixing.mix(docs).rows.select("row_id", "epoch", "words", F.col("size").alias("all_words"))
+    rows = docs.select("*", F.monotonically_increasing_id().alias("row_id")).join(taken, "row_id")
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    text = F.when(F.col("words") < F.col("all_words"), F.array_join(F.slice(words, 1, F.col("words").cast("int")), " ")).otherwise(F.col("text"))
+    out = rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, catalog.vocabulary("word_bpe_49k.json"))
+    """Sequences of at most 4096 tokens, a row per piece."""
+    return packing.pack_documents(docs, catalog.vocabulary("word_bpe_49k.json"), with_ids=False)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality", keep_quality), ("language", keep_language), ("neardup", keep_distinct), ("mixing", mix_sources), ("packing", pack)]
 
-#: Trained models and tokenizers stand in the way of SQL; tests hold the stages against brute force.
+#: Trained models and a tokenizer decide; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from clausegraph.llm.common import materialise
-
     docs = catalog.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
