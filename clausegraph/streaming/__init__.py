@@ -1,0 +1 @@
+"""No operator of this engine is a stream: incremental runs are a diff of two snapshots (operators.evaluate.diff)."""
