@@ -54,14 +54,14 @@ def clauses(rows: DataFrame) -> DataFrame:
     bullets = colon & F.forall(rest, lambda x: x["line"].rlike(BULLET))
     bars = F.filter(rest, lambda x: F.size(F.split(x["line"], r"\|")) >= 3)
     table = colon & (F.size(bars) >= 2)
-    names = F.transform(F.split(F.element_at(bars, 1)["line"], r"\|"), F.trim)
+    names = F.transform(F.split(F.element_at(bars, 1)["line"], r"\|"), lambda c: F.trim(c))
 
     def item(x: Column) -> Column:
         text = F.regexp_replace(F.regexp_replace(x["line"], BULLET, ""), r"[ \t]*[;.,]?[ \t]*$", "")
         return F.struct(F.lit("LIST").alias("kind"), F.concat(F.regexp_replace(head_text, r"[ \t]*:[ \t]*$", " "), text, F.lit(".")).alias("text"), x["start"].alias("start"))
 
     def row(x: Column) -> Column:
-        cells = F.transform(F.split(x["line"], r"\|"), F.trim)
+        cells = F.transform(F.split(x["line"], r"\|"), lambda c: F.trim(c))
         pairs = F.slice(F.zip_with(names, cells, lambda n, c: F.concat(n, F.lit(" : "), c)), 2, 100)
         return F.struct(F.lit("TABLE").alias("kind"), F.concat(F.element_at(cells, 1), F.lit(" - "), F.array_join(pairs, " ; "), F.lit(".")).alias("text"), x["start"].alias("start"))
 

@@ -99,7 +99,7 @@ def channel_dimension(t: Tables) -> DataFrame:
     return targeting.dimension_channel(rows)
 
 
-COSINE = "WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), near AS (SELECT x.id AS a, y.id AS b, x.label AS la, y.label AS lb, round(list_cosine_similarity(x.v, y.v), 6) AS score, row_number() OVER (PARTITION BY x.id ORDER BY round(list_cosine_similarity(x.v, y.v), 9) DESC, y.id) AS rank FROM e x, e y)"
+COSINE = "WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), near AS (SELECT x.id AS a, y.id AS b, x.label AS la, y.label AS lb, round(round(list_cosine_similarity(x.v, y.v), 9), 6) AS score, row_number() OVER (PARTITION BY x.id ORDER BY round(list_cosine_similarity(x.v, y.v), 9) DESC, y.id) AS rank FROM e x, e y)"
 
 
 @query(f"{COSINE} SELECT least(a, b) AS a, greatest(a, b) AS b, max(score) AS score FROM near WHERE rank <= 24 AND la <> lb AND score >= 0.3 GROUP BY 1, 2")
@@ -379,13 +379,13 @@ def attribute_divergence(t: Tables) -> DataFrame:
 
 # --- consolidation ---------------------------------------------------------------------------------------------------
 
-FINDINGS = "f AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS position, l_returnflag AS type, CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS key, list_sort(list_distinct([l_linestatus, l_returnflag])) AS proofs FROM lineitem)"
+FINDINGS = "f AS (SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 128 + ascii(l_returnflag) AS position, l_returnflag AS type, CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS key, list_sort(list_distinct([l_linestatus, l_returnflag])) AS proofs FROM lineitem)"
 
 
 @query(f"WITH {FINDINGS}, g AS (SELECT *, CASE WHEN key IS NULL THEN '#' || position ELSE type || '|' || key || '|' || array_to_string(proofs, '+') END AS grp FROM f) SELECT grp AS \"group\", min(position) AS position, arg_min(type, position) AS type, count(*) AS occurrences FROM g GROUP BY grp")
 def findings_grouped(t: Tables) -> DataFrame:
     key = F.when(F.col("l_linenumber") != 7, F.col("l_partkey").cast("string"))
-    return consolidation.grouped(t.lineitem.select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("position"), F.col("l_returnflag").alias("type"), key.alias("key"), F.array("l_linestatus", "l_returnflag").alias("proofs")))
+    return consolidation.grouped(t.lineitem.select((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 128 + F.ascii("l_returnflag")).alias("position"), F.col("l_returnflag").alias("type"), key.alias("key"), F.array("l_linestatus", "l_returnflag").alias("proofs")))
 
 
 @query("""SELECT s.l_orderkey * 10 + s.l_linenumber AS single, min(p.l_orderkey * 10 + p.l_linenumber) AS host FROM lineitem s JOIN lineitem p ON s.l_returnflag = p.l_returnflag AND s.l_partkey = p.l_partkey
