@@ -197,7 +197,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
     names = ["doc_id", "shard", "row", "before", "n_tokens", "ids_crc32", "ids"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "content")
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "content")
     return files.mapInArrow(entries, "doc_id long, shard string, row long, before long, n_tokens long, ids_crc32 long, ids binary")
 
 
@@ -215,7 +215,7 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
                 if hits:
                     yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(found, "doc_id long, ids array<long>")
+    return spark.read.format("binaryFile").load(path).where("length > 0").select("content").mapInArrow(found, "doc_id long, ids array<long>")
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
