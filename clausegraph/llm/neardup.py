@@ -193,20 +193,20 @@ BROADCAST_IDS = 1_000_000
 TILE = 512
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets meet 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    sets = materialise(shingle_table(docs, ids, shingle), "neardup-sets")
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sorted distinct hashes meet 100 * intersection >= percent * union."""
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike."""
     side = lambda c: sets.select(F.col("set_id").alias(c), F.col("shingles").alias(f"set_{c}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
@@ -244,44 +244,52 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     Rows of equal sets are one set from then on. In a bucket of equal bands every set is first compared to the smallest
     one, and confirmed links are joined to components. Only buckets that still hold several components go on: their sets
-    meet all others of the bucket in tiles of 512 by 512 registers, in memory, and what the registers cannot exclude is
-    confirmed on full sets. So a large group of copies costs about one comparison a set, and no pair is left out.
+    meet all others of the bucket in tiles of 512 by 512 registers, and what the registers cannot exclude is confirmed on
+    full sets in the same task. So a large group of copies costs about one comparison a set, and no pair is left out.
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must lie from 80 to 100")
     similarity = percent / 100
     signed = materialise(signatures(docs, shingle, similarity), "neardup-signatures")
-    sets = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("row_id").alias("set_id"))
-    sets = materialise(sets, "neardup-set-ids")
-    distinct = materialise(signed.join(sets.select(F.col("set_id").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("set_id"), F.col("n_shingles").alias("n"), "classes"), "neardup-sets")
-
+    sets = materialise(signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("row_id").alias("set_id")), "neardup-set-ids")
+    firsts = sets.select(F.col("set_id").alias("row_id"))
+    copies = signed.where("n_shingles > 0").select("row_id").join(firsts, "row_id", "left_anti")
+    copies = materialise(copies, "neardup-copies")
+    if copies.count() <= BROADCAST_IDS:
+        copies = F.broadcast(copies)
+    distinct = signed.where("n_shingles > 0").join(copies, "row_id", "left_anti").select(F.col("row_id").alias("set_id"), F.col("n_shingles").alias("n"), "classes")
+
+    # A bucket's number ends in its class and its band, so a row of the large shuffle is two numbers.
     byte = 2 * BAND
-    one = distinct.select("set_id", F.explode("classes").alias("c"))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64("c.cls", b, F.substring(F.col("c.registers"), b * byte + 1, F.lit(byte))))
-    bands = one.select("set_id", F.col("c.cls").alias("cls"), F.posexplode(keys).alias("band", "bucket"))
+    one = distinct.select("set_id", "n", F.explode("classes").alias("c")).select("set_id", "n", "c.cls", "c.registers")
+    number = lambda b: F.xxhash64("cls", b, F.substring("registers", b * byte + 1, F.lit(byte))).bitwiseAND(F.lit(-4096)) + F.col("cls") * BANDS + b
+    bands = one.select("set_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), number)).alias("bucket")).repartition("bucket")
     buckets = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("set_id").alias("pivot")).where("n > 1")
-    members = materialise(bands.join(buckets, "bucket"), "neardup-members")
+    members = materialise(bands.join(buckets, "bucket").withColumn("cls", F.expr(f"cast((bucket & 4095) div {BANDS} as int)")), "neardup-members")
 
     def excluded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (2, 3))
             yield batch.select(["a", "b"]).filter(pa.array(likely(x, y, similarity)))
 
+    # What of the table any candidate needs: its registers here, its whole set later.
+    candidates = materialise(members.select("set_id").distinct(), "neardup-candidates")
+    few = F.broadcast(candidates) if candidates.count() <= BROADCAST_IDS else candidates
+    sides = materialise(one.join(few, "set_id", "left_semi"), "neardup-registers")
     stars = members.where("pivot <> set_id").select(F.col("pivot").alias("a"), F.col("set_id").alias("b"), "cls").groupBy("a", "b").agg(F.min("cls").alias("cls"))
-    sides = one.select("set_id", F.col("c.cls").alias("cls"), F.col("c.registers").alias("registers"))
     stars = stars.join(sides.select(F.col("set_id").alias("a"), "cls", F.col("registers").alias("x")), ["a", "cls"]).join(sides.select(F.col("set_id").alias("b"), "cls", F.col("registers").alias("y")), ["b", "cls"])
     stars = materialise(stars.select("a", "b", "x", "y").mapInArrow(excluded, "a long, b long"), "neardup-stars")
-    links = confirmed(docs, stars, shingle, percent)
+    full = materialise(shingle_table(docs, candidates, shingle), "neardup-sets")
+    links = confirmed(stars, full, percent)
     labels = components(links)
 
     # What is still apart within a bucket.
     named = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("component", "set_id"))
     apart = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
     rest = named.join(apart, "bucket", "left_semi").withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("set_id"), "tiles"))
-    rest = rest.join(distinct.select("set_id", F.col("n").alias("size"), "classes"), "set_id")
-    rest = rest.withColumn("registers", F.filter("classes", lambda c: c["cls"] == F.col("cls"))[0]["registers"])
+    rest = rest.drop("n").join(sides, ["set_id", "cls"]).join(full, "set_id").withColumn("band", F.expr(f"cast((bucket & 4095) % {BANDS} as int)"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    rest = rest.select("bucket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "set_id", "label", "size", "band", "registers")
+    rest = rest.select("bucket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "set_id", "label", F.col("n").alias("size"), "band", "registers", "shingles")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -289,6 +297,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         def found() -> pa.RecordBatch:
             ids, labels, sizes, tiles = (np.array([h[k] for h in held]) for k in range(4))
             regs = np.frombuffer(b"".join(h[4] for h in held), np.uint16).reshape(-1, REGISTERS)
+            own = [np.frombuffer(h[6], np.uint64) for h in held]
             band, (_, lo, hi) = held[0][5], key
             out = [], []
             for i in range(len(held)):
@@ -297,9 +306,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                     later = later[likely(regs[later], regs[i], similarity)]
                 if len(later):  # only in the first band that the two share
                     same = (regs[later].reshape(-1, BANDS, BAND) == regs[i].reshape(BANDS, BAND)).all(axis=2)
-                    later = later[same.argmax(axis=1) == band]
+                    later = [j for j in later[same.argmax(axis=1) == band] if alike(own[i], own[j], percent)]
                     out[0].append(np.full(len(later), ids[i]))
-                    out[1].append(ids[later])
+                    out[1].append(ids[np.array(later, np.int64)])
             ends = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
             return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
 
@@ -307,7 +316,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             for k in range(0, batch.num_rows, 4096):
                 part = batch.slice(k, 4096)
                 keys = list(zip(*(part.column(c).to_pylist() for c in range(3)), strict=True))
-                values = zip(*(part.column(c).to_pylist() for c in (4, 5, 6, 3, 8, 7)), strict=True)
+                values = zip(*(part.column(c).to_pylist() for c in (4, 5, 6, 3, 8, 7, 9)), strict=True)
                 for now, value in zip(keys, values, strict=True):
                     if now != key:
                         if len(held) > 1:
@@ -318,8 +327,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             yield found()
 
     tiled = rest.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    pairs = materialise(tiled.mapInArrow(meet, "a long, b long").distinct(), "neardup-pairs")
-    more = confirmed(docs, pairs, shingle, percent)
+    more = materialise(tiled.mapInArrow(meet, "a long, b long"), "neardup-links")
     labels = materialise(components(links.union(more)), "neardup-labels")
 
     # Back to rows: set -> component -> its first row.
