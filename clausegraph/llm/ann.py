@@ -21,7 +21,7 @@ from clausegraph.llm.topk import matrix
 
 SHARD_NODES, NEIGHBOURS, REVERSE = 1 << 16, 24, 24
 TREES, BUCKET, ROUNDS, GAIN = 3, 256, 4, 8
-BEAM, ENTRIES, STEP, PART_QUERIES, BLOCK_QUERIES = 448, 512, 4, 512, 128
+BEAM, ENTRIES, STEP, PART_QUERIES, MOST_QUERIES, BLOCK_QUERIES = 448, 512, 4, 512, 16384, 128
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -230,7 +230,9 @@ def search(vectors: DataFrame, k: int = 20, query_step: int = 20, beam: int = BE
 
     # Each part of the queries gets every shard of its dimension: the shard's rows come first, then the queries.
     asked = own.where(F.pmod("vec_id", F.lit(query_step)) == 0)
-    parts = max(1, -(-asked.count() // PART_QUERIES))
+    # Enough parts to use the cluster, none of more than MOST_QUERIES: each costs a copy of the shards it meets.
+    queries, tasks = asked.count(), int(own.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = max(1, min(-(-queries // PART_QUERIES), max(-(-queries // MOST_QUERIES), -(-tasks // shards))))
     part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
     index_rows = indexed.select("shard", part, F.lit(0).alias("kind"), F.col("node").alias("id"), "x", "ids", "near")
     shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s")
