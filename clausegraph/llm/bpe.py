@@ -15,10 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
-from clausegraph.llm.common import text_buffer
+from clausegraph.llm.common import kept_between_tasks, let_go, text_buffer
 
 #: Chunks remembered by a worker before it starts anew; bounds its memory.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 600_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _OTHER_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -124,10 +124,14 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+_drop = _encoders.clear
+kept_between_tasks.append(_drop)
 
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a file; Spark reuses its Python workers, so what it has met is kept between tasks."""
+    let_go(keep=_drop)
     if path not in _encoders:
+        _encoders.clear()
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -5,15 +5,19 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that the Python side of an operator holds in numpy form at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch: documents are long, and JVM and Python both hold a batch.
+BATCH_ROWS = 1000
 _made: list[tuple[SparkSession, str]] = []
+#: What this Python worker keeps between tasks of one operator, to be let go when another one runs.
+kept_between_tasks: list[Callable[[], None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +52,21 @@ def _discard_all() -> None:
             return
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches at ``BATCH_ROWS`` rows at most for this session, unless it is set lower."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def let_go(keep: Callable[[], None] | None = None) -> None:
+    """In a task: drops what other operators keep in this worker (not what ``keep`` would), and what Arrow holds unused."""
+    for drop in kept_between_tasks:
+        if drop is not keep:
+            drop()
+    pa.default_memory_pool().release_unused()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
@@ -82,6 +101,20 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until ``column`` holds ``limit`` bytes, then cut by :func:`slices`."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += int(text_lengths(batch.column(batch.schema.get_field_index(column))).sum())
+        if size >= limit:
+            yield from slices(pa.concat_batches(held), column, limit)
+            held, size = [], 0
+    if held:
+        yield from slices(pa.concat_batches(held), column, limit)
+
+
 def text_lengths(values: pa.Array) -> np.ndarray:
     """Bytes of each value, 0 for null."""
     offsets = text_buffer(values)[1]

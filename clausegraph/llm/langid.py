@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausegraph.llm.common import slices, text_buffer
+from clausegraph.llm.common import let_go, slices, small_batches, text_buffer
 
 #: Pieces are at most so long; longer words are scored in stretches of WORD characters.
 PIECE, WORD = 8, 24
@@ -188,10 +188,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     From the whole text alone; null texts and texts without a letter are ``und`` with score 0, and so is everything if no
     language was learned. Columns pass through, save those two names, which are replaced."""
     kept = docs.drop("lang_pred", "lang_score")
+    small_batches(docs.sparkSession)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 values = part.column(part.schema.get_field_index("text"))
                 letters = pc.match_substring_regex(values.fill_null(""), r"\pL").to_numpy(zero_copy_only=False)
                 pred, sure = [UNDETERMINED] * len(values), np.zeros(len(values))
@@ -199,8 +201,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 if words and model.languages:
                     log = np.zeros((len(words), len(model.languages)))
                     pieces, owner = stretches(words)
-                    for k in range(0, len(pieces), 50_000):
-                        np.add.at(log, owner[k : k + 50_000], model.log_words(pieces[k : k + 50_000]))
+                    for k in range(0, len(pieces), 30_000):
+                        np.add.at(log, owner[k : k + 30_000], model.log_words(pieces[k : k + 30_000]))
                     sums = np.zeros((len(values), len(model.languages)))
                     text = np.repeat(np.arange(len(values)), np.diff(offsets))
                     for k in range(len(model.languages)):

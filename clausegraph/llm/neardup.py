@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausegraph.llm.common import SLICE_BYTES, materialise, slices, text_buffer
+from clausegraph.llm.common import SLICE_BYTES, kept_between_tasks, let_go, materialise, slices, small_batches, text_buffer
 
 REGISTER_BITS, MANTISSA_BITS, BAND = 9, 10, 8
 REGISTERS = 1 << REGISTER_BITS
@@ -40,6 +40,7 @@ _BYTE = mix(np.arange(256, dtype=np.uint64), 7)
 _SEEDS = mix(np.arange(REGISTERS, dtype=np.uint64), 11)
 _BASE = 0x5851F42D4C957F2D
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+kept_between_tasks.append(_powers.clear)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +153,7 @@ def signatures(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     next class where a larger set of the given similarity may stand."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in slices(batch, "text"):
                 sizes, keys, classes, regs, ends = [], [], [], [], [0]
@@ -178,6 +180,7 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
     """set_id and the sorted shingle hashes, as bytes, of the rows of ``docs`` whose row_id is in ``wanted(set_id)``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.tobytes() for own in shingle_sets(part.column(1), shingle)], pa.binary())], ["set_id", "shingles"])
@@ -250,6 +253,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     if not 80 <= percent <= 100:
         raise ValueError("percent must lie from 80 to 100")
     similarity = percent / 100
+    small_batches(docs.sparkSession)
     signed = materialise(signatures(docs, shingle, similarity), "neardup-signatures")
     sets = materialise(signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("row_id").alias("set_id")), "neardup-set-ids")
     firsts = sets.select(F.col("set_id").alias("row_id"))

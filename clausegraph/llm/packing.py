@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausegraph.llm.bpe import encoder
-from clausegraph.llm.common import slices
+from clausegraph.llm.common import gathered, small_batches
 
 LENGTH, WINDOW_TOKENS = 4096, 4 << 20
 #: Of a 1-billion-parameter model of width 2048: per token 12 * width, per pair of tokens 1.
@@ -88,7 +88,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int
     is partition * 2**40 + number, so the same files and splits give the same sequences, also when a task is run again.
     ``padded_to`` is what the sequence takes in storage: ``length``, or its own size where that is a power of two.
     """
-    schema = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, sequence_id long, offset int, padded_to int" + ", ids array<int>" * with_ids
+    small_batches(docs.sparkSession)
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to int" + ", ids array<int>" * with_ids
     names = [c.split()[0] for c in schema.split(", ")]
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int
                     rows.append((doc_id, before + start, n, zlib.crc32(own), total, base + number, at, stored, own))
                     at += n
                 number += 1
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             if with_ids:
                 values = np.concatenate([r[8] for r in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)
@@ -126,15 +127,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int
             if last and window:
                 yield emit(_powers(held, window), window)
 
-        for batch in batches:
-            for part in slices(batch, "text", 12 << 20):
-                ids, offsets = enc.encode(part.column(1))
-                for k, doc_id in enumerate(part.column(0).to_pylist()):
-                    own = np.append(ids[offsets[k] : offsets[k + 1]], np.asarray(end_id, ids.dtype))
-                    window.append((doc_id, 0, len(own), own))
-                    held += len(own)
-                    if held >= window_tokens:
-                        yield from flush(False)
+        for part in gathered(batches, "text", 8 << 20):
+            ids, offsets = enc.encode(part.column(1))
+            for k, doc_id in enumerate(part.column(0).to_pylist()):
+                own = np.append(ids[offsets[k] : offsets[k + 1]], np.asarray(end_id, ids.dtype))
+                window.append((doc_id, 0, len(own), own))
+                held += len(own)
+                if held >= window_tokens:
+                    yield from flush(False)
         if window:
             yield from flush(True)
 

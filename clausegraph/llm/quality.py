@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausegraph.llm.common import slices, text_buffer
+from clausegraph.llm.common import let_go, slices, small_batches, text_buffer
 from clausegraph.llm.neardup import mix, word_hashes, word_spans
 
 PASSAGE_WORDS, HIDDEN, ATTENTION = 96, 16, 8
@@ -167,8 +167,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``quality_score``, 0 to 1, from the whole text alone. A null text counts as empty; a text without words
     is scored as one empty passage. Columns pass through, save one named quality_score, which is replaced."""
     kept = docs.drop("quality_score")
+    small_batches(docs.sparkSession)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in slices(batch, "text"):
                 x, at = passages(part.column(part.schema.get_field_index("text")))

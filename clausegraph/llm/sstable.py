@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausegraph.llm.bpe import encoder
-from clausegraph.llm.common import materialise, partitions_for, slices
+from clausegraph.llm.common import gathered, materialise, partitions_for, small_batches
 
 MAGIC = b"CGSSTAB1"
 FOOTER = struct.Struct("<QIQIQQB9sI8s")
@@ -152,6 +152,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     holds one slice of texts and one shard of ``shard_bytes``.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, writer = encoder(tokenizer), None
@@ -159,17 +160,16 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
         def row(w: ShardWriter) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([w.finish()], pa.binary())], ["shard"])
 
-        for batch in batches:
-            for part in slices(batch, "text", 12 << 20):
-                ids, offsets = enc.encode(part.column(1))
-                ends = np.insert(ids, offsets[1:], np.asarray(end_id, ids.dtype))
-                offsets = offsets + np.arange(len(offsets))
-                for k, doc_id in enumerate(part.column(0).to_pylist()):
-                    writer = writer or ShardWriter(ids.dtype.itemsize)
-                    writer.add(pack_key(doc_id), ends[offsets[k] : offsets[k + 1]])
-                    if writer.bytes_so_far() >= shard_bytes:
-                        yield row(writer)
-                        writer = None
+        for part in gathered(batches, "text", 8 << 20):
+            ids, offsets = enc.encode(part.column(1))
+            ends = np.insert(ids, offsets[1:], np.asarray(end_id, ids.dtype))
+            offsets = offsets + np.arange(len(offsets))
+            for k, doc_id in enumerate(part.column(0).to_pylist()):
+                writer = writer or ShardWriter(ids.dtype.itemsize)
+                writer.add(pack_key(doc_id), ends[offsets[k] : offsets[k + 1]])
+                if writer.bytes_so_far() >= shard_bytes:
+                    yield row(writer)
+                    writer = None
         if writer:
             yield row(writer)
 
