@@ -24,6 +24,7 @@ PIECE, WORD = 8, 24
 #: Sampled documents per language, about, and their length in characters at most.
 SAMPLE, SAMPLE_CHARS = 500, 20_000
 UNKNOWN = 1e-7
+MAX_LANGUAGES = 1000
 MARK = "▁"
 UNDETERMINED = "und"
 _PART = np.zeros(256, bool)
@@ -217,12 +218,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def learn(docs: DataFrame, vocabulary: str, sample: int = SAMPLE) -> Model:
     """Learn from documents with a lang whose crc32(doc_id) mod 4 is not 2, about ``sample`` of each language: those whose
-    hashed id falls below that share, up to ``SAMPLE_CHARS`` characters long."""
+    hashed id falls below that share, up to ``SAMPLE_CHARS`` characters long. More than ``MAX_LANGUAGES`` languages raise."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
-    shares = rows.groupBy("lang").agg((sample / F.count("*")).alias("share"))  # a row per language
+    shares = rows.groupBy("lang").agg((sample / F.count("*")).alias("share")).limit(MAX_LANGUAGES + 1).collect()
+    if len(shares) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    share = F.create_map(*[F.lit(x) for r in sorted(shares) for x in r])[F.col("lang")] if shares else F.lit(0.0)
     place = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "doc_id"), 11) * F.lit(2.0**-53)
-    chosen = rows.join(F.broadcast(shares), "lang").where((place < F.col("share")) & (F.length("text") <= SAMPLE_CHARS))
+    chosen = rows.where((place < share) & (F.length("text") <= SAMPLE_CHARS))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
