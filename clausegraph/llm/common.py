@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that the Python side of an operator holds in numpy form at once.
 SLICE_BYTES = 2 << 20
@@ -67,14 +68,23 @@ def let_go(keep: Callable[[], None] | None = None) -> None:
     pa.default_memory_pool().release_unused()
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` written with a number by row, and the name of that column. A scan numbered anew may be split otherwise (splits
+    follow the executors alive), so whoever finds rows again by number reads this table."""
+    column = "row_id"
+    while column in {c.lower() for c in docs.columns}:
+        column = f"_{column}"
+    return materialise(docs.select("*", F.monotonically_increasing_id().alias(column)), name, compression="zstd"), column
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame; for a plain scan the bytes of its files. Starts no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

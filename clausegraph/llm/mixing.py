@@ -35,12 +35,12 @@ class Mix:
     rows: DataFrame
 
 
-def sized(docs: DataFrame, seed: str) -> DataFrame:
-    """row_id, doc_id, source, its key (never null), size in words, place in the hashed order."""
+def sized(docs: DataFrame, seed: str, row_id: str | None = None) -> DataFrame:
+    """row_id (the named column, or a new number), doc_id, source, its key (never null), size in words, place in the hashed order."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     source = F.col("source").cast("string")
     return docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"),
+        (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"),
         F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("key"), size.alias("size"),
         F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("place"),
     )
@@ -165,15 +165,16 @@ def splitting_tree(sources: DataFrame, levels: int, seed: str) -> DataFrame:
     return nodes.select("shard", leaf).select("shard", F.col("z.keys").alias("key"), F.col("z.quotas").alias("quota"), F.col("z.offsets").alias("offset")).where("quota > 0")
 
 
-def mix(docs: DataFrame, seed: str = "mix", block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> Mix:
+def mix(docs: DataFrame, seed: str = "mix", block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, row_id: str | None = None) -> Mix:
     """Mix ``docs(doc_id, text, source)``.
 
     ``documents``: row_id, doc_id, source, size, source_size, target, taken. ``rows``: row_id, doc_id, epoch (0, 1), words
     (the first so many of the document), size, block, shard, position in the shard. A null or wordless text has size 0 and
     is never taken; null sources are one source, last; a null doc_id is a document like others; repeated rows stay separate
     documents. An empty table gives no rows. Reruns agree: order and draws hang on ``seed`` and ids alone.
+    To find rows again by row_id, name a stored column of ``docs`` that numbers them.
     """
-    base = materialise(sized(docs, seed), "mix-sizes")
+    base = materialise(sized(docs, seed, row_id), "mix-sizes")
     shares = materialise(targets(base), "mix-targets")  # a row per source
     n_sources = shares.count()
     if n_sources > MAX_SOURCES:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausegraph.llm.common import SLICE_BYTES, kept_between_tasks, let_go, materialise, slices, small_batches, text_buffer
+from clausegraph.llm.common import SLICE_BYTES, kept_between_tasks, let_go, materialise, numbered, slices, small_batches, text_buffer
 
 REGISTER_BITS, MANTISSA_BITS, BAND = 9, 10, 8
 REGISTERS = 1 << REGISTER_BITS
@@ -149,7 +149,7 @@ def likely(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Per row: row_id, doc_id, n_shingles, a 128-bit key of its set, and registers by size class. A set also joins the
+    """Per row of ``docs(row_id, doc_id, text)``: row_id, doc_id, n_shingles, a 128-bit key of its set, and registers by size class. A set also joins the
     next class where a larger set of the given similarity may stand."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,12 +172,11 @@ def signatures(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
     schema = "row_id long, doc_id long, n_shingles long, set_key binary, classes array<struct<cls int, registers binary>>"
     names = ["row_id", "doc_id", "n_shingles", "set_key", "classes"]
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(signed, schema)
+    return docs.select("row_id", "doc_id", "text").mapInArrow(signed, schema)
 
 
 def shingle_table(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """set_id and the sorted shingle hashes, as bytes, of the rows of ``docs`` whose row_id is in ``wanted(set_id)``."""
+    """set_id and the sorted shingle hashes, as bytes, of the rows of ``docs(row_id, text)`` whose row_id is in ``wanted(set_id)``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -185,7 +184,7 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.tobytes() for own in shingle_sets(part.column(1), shingle)], pa.binary())], ["set_id", "shingles"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("set_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("row_id").alias("set_id"), "text")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     return rows.join(wanted, "set_id", "left_semi").mapInArrow(cut, "set_id long, shingles binary")
@@ -235,7 +234,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = new
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, row_id: str | None = None) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: row_id, doc_id, n_shingles, component_id, kept.
 
     Rows are linked where 100 * intersection >= percent * union of their shingle sets (``percent`` at least 80: the bands
@@ -243,7 +242,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     smallest doc_id reachable; ``kept`` holds for one row of each component, the first by doc_id. A null, empty or wordless
     text has an empty set and is linked with nothing; a text of fewer words than ``shingle`` has one shingle. Null doc_ids
     come last; if all of a component are null so is component_id. Repeated rows are copies. Further columns are ignored; an
-    empty table gives no rows. ``row_id`` numbers the rows of the scan: the same files and splits give the same numbers.
+    empty table gives no rows. ``row_id`` numbers the rows once and is stored with id and text, which are read from there from
+    then on; or it is the named column of ``docs``, which must then be a stored table, as by :func:`numbered`.
 
     Rows of equal sets are one set from then on. In a bucket of equal bands every set is first compared to the smallest
     one, and confirmed links are joined to components. Only buckets that still hold several components go on: their sets
@@ -254,6 +254,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         raise ValueError("percent must lie from 80 to 100")
     similarity = percent / 100
     small_batches(docs.sparkSession)
+    rows = docs.select(*([] if row_id is None else [F.col(row_id).alias("row_id")]), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = rows if row_id else numbered(rows, "neardup-documents")[0]
     signed = materialise(signatures(docs, shingle, similarity), "neardup-signatures")
     sets = materialise(signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("row_id").alias("set_id")), "neardup-set-ids")
     firsts = sets.select(F.col("set_id").alias("row_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegraph.llm import catalog, langid, mixing, neardup, packing, quality
-from clausegraph.llm.common import materialise
+from clausegraph.llm.common import materialise, numbered
 
 QUALITY, LANGUAGE = 0.3, 0.5
 
@@ -30,18 +30,20 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity 0.8."""
-    found = neardup.near_duplicates(docs, shingle=5, percent=80)
-    gone = materialise(found.where(~F.col("kept")).select("row_id"), "pipeline-gone")
+    stored, number = numbered(docs, "pipeline-documents")
+    found = neardup.near_duplicates(stored, shingle=5, percent=80, row_id=number)
+    gone = materialise(found.where(~F.col("kept")).select(F.col("row_id").alias(number)), "pipeline-gone")
     if gone.count() <= neardup.BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.select("*", F.monotonically_increasing_id().alias("row_id")).join(gone, "row_id", "left_anti").drop("row_id")
+    return stored.join(gone, number, "left_anti").drop(number)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per document and epoch that the mix takes. Of a document that a source's target cuts (one a source and epoch
     at most) the first words stay, joined by single spaces; n_chars follows the text."""
-    taken = mixing.mix(docs).rows.select("row_id", "epoch", "words", F.col("size").alias("all_words"))
-    rows = docs.select("*", F.monotonically_increasing_id().alias("row_id")).join(taken, "row_id")
+    stored, number = numbered(docs, "pipeline-documents")
+    taken = mixing.mix(stored, row_id=number).rows.select(F.col("row_id").alias(number), "epoch", "words", F.col("size").alias("all_words"))
+    rows = stored.join(taken, number)
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     text = F.when(F.col("words") < F.col("all_words"), F.array_join(F.slice(words, 1, F.col("words").cast("int")), " ")).otherwise(F.col("text"))
     out = rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))

@@ -190,6 +190,58 @@ def test_neardup(spark, odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+@pytest.fixture
+def splits_change(spark, monkeypatch):
+    """After each table written, scans are split otherwise, as when executors are lost or join."""
+    import corpus_pipeline
+
+    name, written = "spark.sql.files.maxPartitionBytes", [0]
+    before = spark.conf.get(name)
+
+    def changing(*args, **options):
+        made = common.materialise(*args, **options)
+        written[0] += 1
+        spark.conf.set(name, ("128MB", "16KB", "40KB")[written[0] % 3])
+        return made
+
+    for module in (neardup, mixing, corpus_pipeline):
+        monkeypatch.setattr(module, "materialise", changing)
+        if hasattr(module, "numbered"):  # writes a table too
+            monkeypatch.setattr(module, "numbered", lambda *a, own=module.numbered: (own(*a), spark.conf.set(name, "16KB"))[0])
+    yield
+    spark.conf.set(name, before)
+
+
+def many_files(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(120):
+        text = [f"w{rng.integers(1e6)}" for _ in range(int(rng.integers(60, 200)))]
+        rows += [(3 * i, " ".join(text), "en", f"s{i % 2}"), (3 * i + 1, " ".join([*text[:-1], "last"]), "en", f"s{i % 2}"), (3 * i + 2, f"lone {i} " * 3, "en", "s0")]
+    path = common.scratch(spark, "t")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(9, "doc_id").write.parquet(path)
+    return rows, path
+
+
+def test_rows_keep_their_numbers_when_splits_change(spark, splits_change):
+    import corpus_pipeline
+
+    rows, path = many_files(spark)
+    first = {r["doc_id"]: r["component_id"] for r in neardup.digest(neardup.near_duplicates(spark.read.parquet(path))).collect()}
+    label = near_classes([r[:2] for r in rows], 5, 80)[1]
+    assert first == {r[0]: rows[label[i]][0] for i, r in enumerate(rows)}
+    docs = spark.read.parquet(path).withColumn("n_chars", F.length("text").cast("long")).withColumn("row_id", F.lit("theirs"))
+    single = corpus_pipeline.keep_distinct(spark, docs, DATA)
+    assert single.columns == docs.columns and sorted(r["doc_id"] for r in single.collect()) == sorted({rows[i][0] for i in label})
+    mixed = corpus_pipeline.mix_sources(spark, docs, DATA).collect()
+    sizes = {r[0]: len(r[1].split()) for r in rows}
+    got = Counter()
+    for r in mixed:
+        got[r["doc_id"]] += len(r["text"].split())
+    want = {r["doc_id"]: r["taken"] for r in mixing.digest(mixing.mix(docs)).collect() if r["taken"]}
+    assert got == want and all(n <= 2 * sizes[i] for i, n in got.items())
+
+
 def test_registers_estimate():
     rng = np.random.default_rng(1)
     for size in (3, 20, 200, 5000):
