@@ -10,6 +10,7 @@ on the original vectors.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -187,19 +188,19 @@ class Graph:
         order = np.argsort(-score, axis=1, kind="stable")
         return np.where(np.isfinite(score), nodes, -1)[lines, order]
 
-    def answer(self, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """By query the ids and exact scores of its nearest found: the best nodes, enough for k ids besides its own."""
+    def answer(self, query_ids: np.ndarray, numbers: np.ndarray, queries: np.ndarray, k: int, beam: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """By query its number and id, the ids and exact scores of its nearest found: the best nodes, enough for k ids besides its own."""
         for at in range(0, len(queries), BLOCK_QUERIES):
             part = queries[at : at + BLOCK_QUERIES]
-            for own, x, nodes in zip(query_ids[at : at + BLOCK_QUERIES], part, self.search(part, beam), strict=True):
-                nodes = nodes[nodes >= 0][: 2 * k + 2]
+            for own, number, x, nodes in zip(query_ids[at : at + BLOCK_QUERIES], numbers[at : at + BLOCK_QUERIES], part, self.search(part, beam), strict=True):
+                nodes = np.array(list(islice((i for i in nodes[nodes >= 0].tolist() if any(j != own for j in self.ids[i])), 2 * k + 2)), np.int64)
                 score = np.array([float(np.dot(self.x[i], x)) for i in nodes])
                 ids = [self.ids[i] for i in nodes]
                 who = np.array([j for i in ids for j in i], np.int64)
                 value = np.repeat(score, [len(i) for i in ids])
                 value, who = value[who != own], who[who != own]
                 order = np.lexsort((who, -value))[:k]
-                yield np.full(len(order), own), who[order], value[order]
+                yield np.full(len(order), number), np.full(len(order), own), who[order], value[order]
 
 
 def search(vectors: DataFrame, k: int = 20, query_step: int = 20, beam: int = BEAM) -> DataFrame:
@@ -207,20 +208,22 @@ def search(vectors: DataFrame, k: int = 20, query_step: int = 20, beam: int = BE
 
     Every usable row is indexed and may be found; vectors that are null, zero or hold a null or non-finite component, and
     null ids, take no part; vectors of different dimension never meet. Rows of equal vectors stay separate candidates;
-    a row never meets its own id. Fewer candidates than k: all found; an empty table: no rows. A task holds one shard and
+    a row never meets its own id. Each distinct id and vector is one query with its own list. Fewer candidates than k: all found; an empty table: no rows. A task holds one shard and
     one block of queries; queries * shards rows meet in the end, at most k for each.
     """
     own = materialise(usable(vectors), "ann-vectors")
     shards = max(1, -(-own.count() // SHARD_NODES))
     rank = F.row_number().over(Window.partitionBy("dim", "x").orderBy("vec_id"))
-    few = own.withColumn("rank", rank).where(F.col("rank") <= k + 1)  # smaller ids win ties: more copies are never asked for
+    # Smaller ids win ties, and a query leaves out the rows of one id: more ids, or more rows of an id, are never asked for.
+    few = own.groupBy("vec_id", "dim", "x").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    few = few.withColumn("rank", rank).where(F.col("rank") <= k + 1)
 
     def shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = [small(np.frombuffer(x, np.float64)) for x in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(q, pa.binary())], [*batch.schema.names, "q"])
 
-    nodes = few.groupBy("dim", "x").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    nodes = few.groupBy("dim", "x").agg(F.slice(F.sort_array(F.flatten(F.collect_list(F.array_repeat("vec_id", F.col("copies"))))), 1, 2 * k).alias("ids"))
     nodes = nodes.select(F.monotonically_increasing_id().alias("node"), (F.pmod(F.xxhash64("x"), F.lit(shards)) + F.shiftleft(F.col("dim").cast("long"), 32)).alias("shard"), "dim", "x", "ids")
     nodes = materialise(nodes.mapInArrow(shrunk, "node long, shard long, dim int, x binary, ids array<long>, q binary"), "ann-nodes")
     edges = nearest_graph(nodes)
@@ -229,16 +232,17 @@ def search(vectors: DataFrame, k: int = 20, query_step: int = 20, beam: int = BE
     indexed = nodes.join(lists, F.col("node") == F.col("u"), "left").select("shard", "node", "x", "ids", F.coalesce("near", F.array().cast("array<long>")).alias("near"))
 
     # Each part of the queries gets every shard of its dimension: the shard's rows come first, then the queries.
-    asked = own.where(F.pmod("vec_id", F.lit(query_step)) == 0)
+    asked = own.where(F.pmod("vec_id", F.lit(query_step)) == 0).distinct()
+    asked = materialise(asked.select("*", F.monotonically_increasing_id().alias("number")), "ann-queries")
     # Enough parts to use the cluster, none of more than MOST_QUERIES: each costs a copy of the shards it meets.
     queries, tasks = asked.count(), int(own.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     parts = max(1, min(-(-queries // PART_QUERIES), max(-(-queries // MOST_QUERIES), -(-tasks // shards))))
     part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    index_rows = indexed.select("shard", part, F.lit(0).alias("kind"), F.col("node").alias("id"), "x", "ids", "near")
+    index_rows = indexed.select("shard", part, F.lit(0).alias("kind"), F.col("node").alias("id"), "x", "ids", "near", F.col("node").alias("number"))
     shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s")
-    query_rows = asked.select("vec_id", "dim", "x", shard).select(
+    query_rows = asked.select("vec_id", "dim", "x", "number", shard).select(
         (F.col("s") + F.shiftleft(F.col("dim").cast("long"), 32)).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"),
-        F.col("vec_id").alias("id"), "x", F.array().cast("array<long>").alias("ids"), F.array().cast("array<long>").alias("near"))
+        F.col("vec_id").alias("id"), "x", F.array().cast("array<long>").alias("ids"), F.array().cast("array<long>").alias("near"), "number")
     meeting = index_rows.union(query_rows).repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind", "id")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +260,8 @@ def search(vectors: DataFrame, k: int = 20, query_step: int = 20, beam: int = BE
         def answered() -> Iterator[pa.RecordBatch]:
             if graph and asks:
                 x = np.frombuffer(b"".join(a[1] for a in asks), np.float64).reshape(len(asks), -1)
-                found = list(graph.answer(np.array([a[0] for a in asks]), x, k, beam))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
+                found = list(graph.answer(np.array([a[0] for a in asks]), np.array([a[2] for a in asks]), x, k, beam))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["number", "query_id", "vec_id", "score"])
 
         for batch in batches:
             shard, part, kind = (batch.column(c).to_numpy() for c in range(3))
@@ -274,12 +278,12 @@ def search(vectors: DataFrame, k: int = 20, query_step: int = 20, beam: int = BE
                 if graph is None:
                     graph = built()
                     held = []
-                asks += list(zip(rows.column(3).to_pylist(), rows.column(4).to_pylist(), strict=True))
+                asks += list(zip(rows.column(3).to_pylist(), rows.column(4).to_pylist(), rows.column(7).to_pylist(), strict=True))
                 if len(asks) >= PART_QUERIES:
                     yield from answered()
                     asks = []
         yield from answered()
 
-    partial = meeting.mapInArrow(walk, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    partial = meeting.mapInArrow(walk, "number long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), "vec_id"))
     return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -47,7 +47,8 @@ def integer_type(largest: float, dim: int) -> np.dtype:
 
 
 def blocks(vectors: DataFrame, query_step: int, scale: float = 64.0) -> DataFrame:
-    """Vectors as blocks of integer columns: side 0 candidates, side 1 queries (ids divisible by ``query_step``)."""
+    """Vectors as blocks of integer columns: side 0 candidates, side 1 queries (ids divisible by ``query_step``), one for each
+    distinct id and vector."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[tuple[int, int], list] = {}
@@ -68,15 +69,17 @@ def blocks(vectors: DataFrame, query_step: int, scale: float = 64.0) -> DataFram
             waiting[key] = [(ids, rows)] if len(ids) else []
 
         for batch in batches:
-            ids = batch.column(0)
+            ids, asks = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             numbers = ids.fill_null(0).to_numpy()
             for rows, values in matrix(batch.column(1)):
                 keep = known[rows]
                 rows, values = rows[keep], np.floor(values[keep] * scale)
-                ask = numbers[rows] % query_step == 0
-                for side, size, chosen in ((0, CANDIDATES, slice(None)), (1, QUERIES, ask)):
+                ask = asks[rows]
+                for side, size, chosen in ((0, CANDIDATES, ~ask), (1, QUERIES, ask)):
                     key = (side, values.shape[1])
+                    if not chosen.any():
+                        continue
                     waiting.setdefault(key, []).append((numbers[rows][chosen], values[chosen]))
                     if sum(len(w[0]) for w in waiting[key]) >= size:
                         yield from full(key, size)
@@ -87,7 +90,8 @@ def blocks(vectors: DataFrame, query_step: int, scale: float = 64.0) -> DataFram
                 yield block(*key, ids, rows)
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInArrow(built, BLOCK)
+    asked = rows.where(F.pmod("vec_id", F.lit(query_step)) == 0).distinct()
+    return rows.withColumn("asks", F.lit(False)).union(asked.withColumn("asks", F.lit(True))).mapInArrow(built, BLOCK)
 
 
 class TopK:
@@ -123,16 +127,17 @@ class TopK:
                         score, at = score[alive], at[alive]
             if score is None:
                 score = np.zeros(n)
-            if not np.isfinite(least) and len(score) > self.k + 1:
-                least = -np.partition(-score, self.k)[self.k]  # one more: the query itself may be there
+            others = ids[at] != self.ids[i]  # before the k-th is found: any number of rows may have the query's own id
+            if not others.all():
+                score, at = score[others], at[others]
+            if not np.isfinite(least) and len(score) > self.k:
+                least = -np.partition(-score, self.k - 1)[self.k - 1]
             keep = np.flatnonzero(score >= least)
             if len(keep) > 4 * self.k:  # many at the k-th score: those of the smallest ids are enough
                 tied = keep[score[keep] == least]
-                tied = tied[np.argsort(ids[at[tied]])[: self.k + 1]]
+                tied = tied[np.argsort(ids[at[tied]])[: self.k]]
                 keep = np.r_[keep[score[keep] > least], tied]
-            found = ids[at[keep]]
-            own = found != self.ids[i]
-            scores, who = np.r_[scores, score[keep][own]], np.r_[who, found[own]]
+            scores, who = np.r_[scores, score[keep]], np.r_[who, ids[at[keep]]]
             order = np.lexsort((who, -scores))[: self.k]
             self.best[i] = scores[order], who[order]
 
@@ -142,7 +147,8 @@ def top_k(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: float =
 
     Components are ``floor(scale * x)``. Vectors that are null or hold a null or non-finite component, and null ids, take
     no part; vectors of different dimension are not compared; rows that repeat an id stay separate candidates, but a row
-    never meets its own id. Fewer than k candidates: all of them; an empty table: no rows. Blocks of queries meet runs of
+    never meets its own id. Each distinct id and vector is one query: an id that repeats with other vectors has a list, ranked
+    from 1, for each of them, and equal rows have one list. Fewer than k candidates: all of them; an empty table: no rows. Blocks of queries meet runs of
     candidate blocks on a grid; bytes shuffled are queries * runs + candidates * query blocks; a task holds one block of
     each. The final rank is over at most k rows a run and query.
     """
@@ -160,25 +166,26 @@ def top_k(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: float =
                 dim, run, asks, query_ids, query_matrix, ids, columns = (batch.column(c)[x].as_py() for c in range(7))
                 if key != (dim, run, asks):
                     if best:
-                        yield result(best)
+                        yield result(key[2], best)
                     key = dim, run, asks
                     own = np.frombuffer(query_ids, "<i8")
                     best = TopK(own, unpacked(query_matrix, dim, len(own)).T, k)
                 own = np.frombuffer(ids, "<i8")
                 best.offer(own, unpacked(columns, dim, len(own)))
         if best:
-            yield result(best)
+            yield result(key[2], best)
 
     def unpacked(raw: bytes, dim: int, n: int) -> np.ndarray:
         return np.frombuffer(raw, "<i8" if len(raw) == 8 * dim * n and dim else "<i4").reshape(dim, n)
 
-    def result(best: TopK) -> pa.RecordBatch:
+    def result(asks: int, best: TopK) -> pa.RecordBatch:
         sizes = [len(b[0]) for b in best.best]
         score = np.concatenate([b[0] for b in best.best]).astype(np.int64)
         who = np.concatenate([b[1] for b in best.best])
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, sizes)), pa.array(who), pa.array(score)], ["query_id", "vec_id", "score"])
+        place = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(who), asks)), pa.array(place), pa.array(np.repeat(best.ids, sizes)), pa.array(who), pa.array(score)], ["asks", "place", "query_id", "vec_id", "score"])
 
     dealt = grid.select("dim", "run", "asks", "query_ids", "query_matrix", "ids", "matrix", "block").repartition("dim", "run", "asks").sortWithinPartitions("dim", "run", "asks", "block").drop("block")
-    partial = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    partial = dealt.mapInArrow(search, "asks long, place int, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("asks", "place").orderBy(F.desc("score"), "vec_id"))
     return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

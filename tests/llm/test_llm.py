@@ -346,6 +346,39 @@ def test_ann_recall(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_keep_their_neighbours(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.integers(-3, 4, 8) / 4]) for i in range(300)]
+    own = [2.0] * 8  # best of all for itself: 30 rows of id 40 with one vector, and of id 60 with as many vectors as rows
+    rows += [(40, own)] * 30 + [(60, [2.0] * 7 + [2 + i / 64]) for i in range(30)] + [(20, [0.5] * 8)] + [(i, [1.0] * 8) for i in (7, 7, 7, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    ok = [(i, np.array(v)) for i, v in rows]
+
+    def want(scale):
+        lists = Counter()
+        for q, x in {(i, tuple(v)) for i, v in rows if i % 20 == 0}:
+            best = sorted((-float(scale(np.array(x)) @ scale(v)), i) for i, v in ok if i != q)[:20]
+            lists[q, tuple((i, -s) for s, i in best)] += 1
+        return lists
+
+    def lists(found):
+        by = defaultdict(lambda: defaultdict(list))
+        for r in found:
+            by[r["query_id"]][r["rank"]].append((r["vec_id"], float(r["score"])))
+        return by
+
+    def ranked(counted):
+        by = defaultdict(lambda: defaultdict(list))
+        for (q, best), n in counted.items():
+            for rank, hit in enumerate(best, 1):
+                by[q][rank] += [hit] * n
+        return by
+
+    order = lambda by: {q: {rank: sorted(hits) for rank, hits in ranks.items()} for q, ranks in by.items()}
+    assert order(lists(topk.top_k(df).collect())) == order(ranked(want(lambda v: np.floor(64 * v).astype(int))))
+    assert order(lists(ann.search(df).collect())) == order(ranked(want(lambda v: v)))  # a beam wider than the table finds all
+
+
 def test_pack_fills_sequences():
     rng = np.random.default_rng(4)
     sizes = [int(s) for s in rng.integers(1, 9000, 400)]
