@@ -122,6 +122,22 @@ def test_licenses(spark, odd, empty):
     assert [(r["license"], r["score"]) for r in got] == want
 
 
+def test_published_licence_texts(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version {} of the License, or\n    (at your option) any later version."
+    texts = {
+        "GPL-3.0-notice": "<one line to give its name>\n\n    " + gpl.format(3) + "\n\n    This program is distributed in the hope that it will be useful.",
+        "GPL-2.0-notice": "Code.\n\n" + gpl.format(2),
+        "LGPL-2.1-notice": "Code.\n\n" + gpl.format("2.1").replace("program", "library").replace("GNU", "GNU Lesser"),
+        "AGPL-3.0-notice": "Code.\n\n" + gpl.format(3).replace("GNU", "GNU Affero"),
+        "GPL-3.0-title": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007",
+        "BSD-redistribution": "Copyright 2001 A.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. Source",
+        "BSD-3-Clause-conditions": "Copyright 2001 A.\n\n" + licenses.TEMPLATES.get("BSD-3-Clause-conditions", "").replace("copyright holder", "University"),
+        "BSL-1.0-title": "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission",
+    }
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")).collect()
+    assert [r["license"] for r in sorted(got, key=lambda r: r["doc_id"])] == list(texts)
+
+
 def test_mixing(spark, odd, empty):
     docs, rows = odd
     mixed = mixing.mix(docs, block_words=64, shard_blocks=8)
