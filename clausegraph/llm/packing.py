@@ -43,7 +43,9 @@ def pack(sizes: list[int], length: int = LENGTH, linear: float = LINEAR, quadrat
     room = [length] * count
     room[-1] = total - (count - 1) * length  # the one that ends below the length
     cost = [0.0] * count
-    order = [(0.0, b) for b in range(count)]
+    order: list[tuple[float, int]] = []  # by cost: sequences with room for the piece at hand
+    parked = [(-room[b], b) for b in range(count)]  # by room: the others, until pieces are short enough
+    heapq.heapify(parked)
     pending = sorted(rest, key=lambda r: (-r[0], r[1]))
 
     def put(b: int, item: int, at: int, n: int) -> None:
@@ -52,30 +54,16 @@ def pack(sizes: list[int], length: int = LENGTH, linear: float = LINEAR, quadrat
         cost[b] += linear * n + quadratic * n * n
 
     for n, item, at in pending:
-        aside = []
-        while order and (order[0][1] is None or room[order[0][1]] < n) and len(aside) < 64:
-            aside.append(heapq.heappop(order))
-        if order and room[order[0][1]] >= n:
-            _, b = heapq.heappop(order)
-            put(b, item, at, n)
+        while parked and -parked[0][0] >= n:
+            _, b = heapq.heappop(parked)
+            heapq.heappush(order, (cost[b], b))
+        while n:  # with no room anywhere the piece is cut to fill those with most room
+            _, b = heapq.heappop(order or parked)
+            take = min(n, room[b])
+            put(b, item, at, take)
+            at, n = at + take, n - take
             if room[b]:
-                heapq.heappush(order, (cost[b], b))
-        else:  # no room in the cheapest ones: cut it to fill those with most room
-            for _, b in sorted(aside, key=lambda x: (-room[x[1]], x[1])):
-                take = min(n, room[b])
-                if take:
-                    put(b, item, at, take)
-                    at, n = at + take, n - take
-            while n:
-                _, b = heapq.heappop(order)
-                take = min(n, room[b])
-                put(b, item, at, take)
-                at, n = at + take, n - take
-                if room[b]:
-                    aside.append((cost[b], b))
-        for _, b in aside:
-            if room[b]:
-                heapq.heappush(order, (cost[b], b))
+                heapq.heappush(parked, (-room[b], b))
     return done + bins
 
 

@@ -413,6 +413,21 @@ def test_pack_fills_sequences():
         assert at == sizes[item]
 
 
+def test_pack_looks_at_every_sequence():
+    sizes = [2000] + [300] * 1305  # the sequence of the long piece is the dearest of 97, and the only one that has room
+    bins = packing.pack(sizes, linear=0.0)
+    room, cost, held = [4096] * (len(bins) - 1) + [sum(sizes) - 4096 * (len(bins) - 1)], [0] * len(bins), [[] for _ in bins]
+    for item, n in sorted(enumerate(sizes), key=lambda x: (-x[1], x[0])):
+        at = 0
+        while n:
+            able = [b for b in range(len(bins)) if room[b] >= n]
+            b = min(able, key=lambda b: (cost[b], b)) if able else max(range(len(bins)), key=lambda b: (room[b], -b))
+            take = min(n, room[b])
+            held[b].append((item, at, take))
+            room[b], cost[b], at, n = room[b] - take, cost[b] + take * take, at + take, n - take
+    assert bins == held and [take for _, _, take in bins[0]][:7] == [2000] + [300] * 6
+
+
 def test_packing(spark, odd, empty):
     docs, rows = odd
     got = packing.pack_documents(docs, WORD, window_tokens=20_000).collect()
