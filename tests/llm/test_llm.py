@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from decimal import Decimal
 
 import duckdb
 import numpy as np
@@ -304,19 +305,58 @@ def test_langid(spark, odd, empty):
     assert langid.digest(empty, none).count() == 0
 
 
-def test_forward_sums_all_segmentations():
-    pieces = ["a", "b", "ab", "▁", "▁a"]
-    model = langid.Model(["x"], sorted(pieces), np.zeros((7, 1)))
-    order = model.finder().order
-    p = dict(zip(sorted(pieces), (0.1, 0.2, 0.3, 0.15, 0.25), strict=True))
-    model.probabilities[1:6, 0] = [p[sorted(pieces)[i]] for i in order]
-    model.probabilities[6] = langid.UNKNOWN
-
-    def total(word):
-        return 1.0 if not word else sum(p[word[:n]] * total(word[n:]) for n in range(1, min(3, len(word) + 1)) if word[:n] in p)
-
-    words = ["▁ab", "▁abab", "▁bba"]
-    assert np.allclose(model.log_words(words)[:, 0], np.log([total(w) for w in words]))
+def toy_pieces(count=1):
+    pieces = sorted(["a", "b", "ab", "▁", "▁a", "bababababababa"])
+    model = langid.Model([f"x{k}" for k in range(count)], pieces, np.zeros((len(pieces) + 2, count)), np.zeros(count))
+    p = [dict(zip(pieces, np.random.default_rng(k).dirichlet(np.ones(len(pieces))), strict=True)) for k in range(count)]
+    for k in range(count):
+        model.probabilities[1 : len(pieces) + 1, k] = [p[k][pieces[i]] for i in model.finder().order]
+    model.probabilities[-1] = langid.UNKNOWN
+    return model, p
+
+
+def log_total(word, p):
+    sums = [Decimal(1)]
+    for e in range(1, len(word) + 1):
+        sums.append(sum(sums[e - n] * Decimal(p.get(word[e - n : e], langid.UNKNOWN if n == 1 else 0)) for n in range(1, min(14, e) + 1)))
+    return float(sums[-1].ln())
+
+
+def test_forward_sums_all_segmentations(monkeypatch):
+    words = ["▁ab", "▁abab", "▁bba", "▁zz" + "ab" * 40, "▁" + "bababababababab" * 30 + "z" * 50, "a", "▁" + "日本" * 60]
+    for window, cells, sums in ((4096, 1 << 18, 16 << 20), (16, 64, 2000)):  # long words go in many windows, few words at once
+        for name, value in (("WINDOW", window), ("CELLS", cells), ("SUMS", sums)):
+            monkeypatch.setattr(langid, name, value)
+        for count in (1, 100):
+            model, p = toy_pieces(count)
+            got = model.log_words(words)
+            assert got.shape == (len(words), count)
+            assert all(math.isclose(got[i, k], log_total(w, p[k]), rel_tol=1e-9) for i, w in enumerate(words) for k in range(0, count, 33))
+
+
+def test_expected_pieces():
+    model, (p,) = toy_pieces()
+    names = [None] + [model.pieces[i] for i in model.finder().order] + ["?"]
+    words = ["▁abababababababab", "▁abzb", "▁b"]
+
+    def ways(word):
+        if not word:
+            yield [], 1.0
+        for n in range(1, len(word) + 1):
+            q = p.get(word[:n], langid.UNKNOWN if n == 1 else 0)
+            for rest, r in ways(word[n:]) if q else ():
+                yield [word[:n] if word[:n] in p else "?", *rest], q * r
+
+    want, weight = Counter(), [2.0, 3.0, 1.0]
+    for w, times in zip(words, weight, strict=True):
+        every = list(ways(w))
+        total = sum(q for _, q in every)
+        for parts, q in every:
+            for x in parts:
+                want[x] += times * q / total
+    got, total = langid.occurrences(model.finder(), words, np.log(np.maximum(model.probabilities[:, 0], 1e-300)), np.array(weight))
+    assert all(math.isclose(g, want[n], rel_tol=1e-9, abs_tol=1e-12) for n, g in zip(names, got, strict=True))
+    assert np.allclose(total, [log_total(w, p) for w in words])
 
 
 def vectors(spark, rng, n, dim=8):
