@@ -385,6 +385,27 @@ def test_topk(spark):
     assert [r["rank"] for r in few] == [1, 2]
 
 
+def test_topk_many_blocks(spark):
+    """Small blocks: pruning, compaction, several runs and groups; components from a byte to some that need whole numbers of 64 bits."""
+    rng = np.random.default_rng(12)
+    for top, dim in ((3, 40), (1e3, 40), (1e6, 24)):
+        rows = [(i, [float(v) for v in rng.normal(size=dim) * top / (1 + i % 7)]) for i in range(700)]
+        rows += [(20 * i, rows[3][1]) for i in range(3)] + [(1000 + i, rows[5][1]) for i in range(40)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+        ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+        ids, m = np.array([i for i, _ in ok]), np.array([v for _, v in ok], object)
+        want = Counter()
+        for q, x in {(i, tuple(v)) for i, v in ok if i % 20 == 0}:
+            score = m @ np.array(x, object)
+            best = sorted((-s, i) for i, s in zip(ids.tolist(), score, strict=True) if i != q)[:20]
+            want.update((q, r, i, -s) for r, (s, i) in enumerate(best, 1))
+        got = Counter(tuple(r) for r in topk.top_k(df, candidates=32, queries=8, run=4, group=2).collect())
+        assert got == want
+    huge = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(huge).collect()
+
+
 def test_ann_recall(spark):
     rng = np.random.default_rng(3)
     rows, df = vectors(spark, rng, 600)
