@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,15 +17,22 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 #: Rows of an Arrow batch: documents are long, and JVM and Python both hold a batch.
 BATCH_ROWS = 1000
+try:  # glibc's: gives freed memory back to the system
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):
+    _trim = None
 _made: list[tuple[SparkSession, str]] = []
 #: What this Python worker keeps between tasks of one operator, to be let go when another one runs.
 kept_between_tasks: list[Callable[[], None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset and the master is
+    local; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"{tempfile.gettempdir()}/clausegraph-shared"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -61,11 +69,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def let_go(keep: Callable[[], None] | None = None) -> None:
-    """In a task: drops what other operators keep in this worker (not what ``keep`` would), and what Arrow holds unused."""
+    """In a task: drops what other operators keep in this worker (not what ``keep`` would), and gives back to the system what
+    Arrow and the C library hold unused."""
     for drop in kept_between_tasks:
         if drop is not keep:
             drop()
     pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:

@@ -190,7 +190,7 @@ def shingle_table(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
     return rows.join(wanted, "set_id", "left_semi").mapInArrow(cut, "set_id long, shingles binary")
 
 
-#: Ids of 8 bytes: up to so many are broadcast, more are joined by a shuffle of the texts.
+#: Ids of 8 bytes: up to so many are broadcast (of wider rows a quarter), more are joined by a shuffle of the texts.
 BROADCAST_IDS = 1_000_000
 TILE = 512
 
@@ -246,8 +246,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, row_id
     then on; or it is the named column of ``docs``, which must then be a stored table, as by :func:`numbered`.
 
     Rows of equal sets are one set from then on. In a bucket of equal bands every set is first compared to the smallest
-    one, and confirmed links are joined to components. Only buckets that still hold several components go on: their sets
-    meet all others of the bucket in tiles of 512 by 512 registers, and what the registers cannot exclude is confirmed on
+    one, and confirmed links are joined to components. Only buckets that still hold several components go on: sets of
+    different components meet in tiles of 512 by 512 registers, and what the registers cannot exclude is confirmed on
     full sets in the same task. So a large group of copies costs about one comparison a set, and no pair is left out.
     """
     if not 80 <= percent <= 100:
@@ -289,25 +289,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, row_id
     links = confirmed(stars, full, percent)
     labels = components(links)
 
-    # What is still apart within a bucket.
+    # What is still apart within a bucket. Its largest component lies in tiles, and so do all others; each tile of those meets
+    # every tile of both, so a large component with few strangers is copied about once, not once a tile.
     named = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("component", "set_id"))
     apart = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    rest = named.join(apart, "bucket", "left_semi").withColumn("tiles", F.ceil(F.col("n") / TILE)).withColumn("tile", F.pmod(F.xxhash64("set_id"), "tiles"))
-    rest = rest.drop("n").join(sides, ["set_id", "cls"]).join(full, "set_id").withColumn("band", F.expr(f"cast((bucket & 4095) % {BANDS} as int)"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    rest = rest.select("bucket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "set_id", "label", F.col("n").alias("size"), "band", "registers", "shingles")
+    rest = materialise(named.join(apart, "bucket", "left_semi").select("bucket", "set_id", "cls", "label", F.col("n").alias("n")), "neardup-apart")
+    per_label = rest.groupBy("bucket", "label").agg(F.count("*").alias("m"))
+    tops = per_label.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top")).select("bucket", F.col("top.label").alias("top"), F.col("top.m").alias("m"))
+    rest = rest.join(tops, "bucket").withColumn("big", F.col("label") == F.col("top")).withColumn("tiles", F.ceil(F.col("m") / TILE)).withColumn("others", F.ceil((F.col("n") - F.col("m")) / TILE))
+    rest = rest.withColumn("tile", F.pmod(F.xxhash64("set_id"), F.when(F.col("big"), F.col("tiles")).otherwise(F.col("others"))))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    cell = lambda kind, lo, hi, side: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"), side.cast("long").alias("side"))
+    mine = F.col("tile")
+    among = F.transform(upto("others"), lambda o: cell(0, F.least(mine, o), F.greatest(mine, o), mine))
+    across = F.when(F.col("big"), F.transform(upto("others"), lambda o: cell(1, mine, o, F.lit(0)))).otherwise(F.concat(among, F.transform(upto("tiles"), lambda o: cell(1, o, mine, F.lit(1)))))
+    rest = rest.select("bucket", "set_id", "cls", "label", across.alias("cells")).join(sides, ["set_id", "cls"]).join(full, "set_id").withColumn("band", F.expr(f"cast((bucket & 4095) % {BANDS} as int)")).withColumn("c", F.explode("cells"))
+    rest = rest.select("bucket", "c.kind", "c.lo", "c.hi", "c.side", "set_id", "label", F.col("n").alias("size"), "band", "registers", "shingles")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def found() -> pa.RecordBatch:
-            ids, labels, sizes, tiles = (np.array([h[k] for h in held]) for k in range(4))
+            ids, labels, sizes, sides = (np.array([h[k] for h in held]) for k in range(4))
             regs = np.frombuffer(b"".join(h[4] for h in held), np.uint16).reshape(-1, REGISTERS)
             own = [np.frombuffer(h[6], np.uint64) for h in held]
-            band, (_, lo, hi) = held[0][5], key
+            band, (_, kind, lo, hi) = held[0][5], key
+            within = kind == 0 and lo == hi
             out = [], []
             for i in range(len(held)):
-                later = np.flatnonzero((ids > ids[i]) & (labels != labels[i]) & ((tiles != tiles[i]) | (lo == hi)) & (np.minimum(sizes, sizes[i]) * 100 >= percent * np.maximum(sizes, sizes[i])))
+                later = np.flatnonzero((ids > ids[i]) & (labels != labels[i]) & ((sides != sides[i]) | within) & (np.minimum(sizes, sizes[i]) * 100 >= percent * np.maximum(sizes, sizes[i])))
                 if len(later):
                     later = later[likely(regs[later], regs[i], similarity)]
                 if len(later):  # only in the first band that the two share
@@ -321,8 +331,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, row_id
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
                 part = batch.slice(k, 4096)
-                keys = list(zip(*(part.column(c).to_pylist() for c in range(3)), strict=True))
-                values = zip(*(part.column(c).to_pylist() for c in (4, 5, 6, 3, 8, 7, 9)), strict=True)
+                keys = list(zip(*(part.column(c).to_pylist() for c in range(4)), strict=True))
+                values = zip(*(part.column(c).to_pylist() for c in (5, 6, 7, 4, 9, 8, 10)), strict=True)
                 for now, value in zip(keys, values, strict=True):
                     if now != key:
                         if len(held) > 1:
@@ -332,7 +342,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, row_id
         if len(held) > 1:
             yield found()
 
-    tiled = rest.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    tiled = rest.repartition("bucket", "kind", "lo", "hi").sortWithinPartitions("bucket", "kind", "lo", "hi")
     more = materialise(tiled.mapInArrow(meet, "a long, b long"), "neardup-links")
     labels = materialise(components(links.union(more)), "neardup-labels")
 
@@ -341,8 +351,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, row_id
     rows = signed.select("row_id", "doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left").withColumn("component", F.coalesce("component", "row_id"))
     rows = materialise(rows.drop("set_key"), "neardup-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first")
-    heads = rows.groupBy("component").agg(first, F.count("*").alias("n")).where("n > 1").select("component", "first")
-    out = rows.join(heads, "component", "left")
+    heads = materialise(rows.groupBy("component").agg(first, F.count("*").alias("n")).where("n > 1").select("component", "first"), "neardup-heads")
+    out = rows.join(F.broadcast(heads) if heads.count() <= BROADCAST_IDS // 4 else heads, "component", "left")
     alone = F.col("first").isNull()
     return out.select("row_id", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (alone | (F.col("first.row_id") == F.col("row_id"))).alias("kept"))
 

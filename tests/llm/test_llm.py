@@ -183,6 +183,27 @@ def near_classes(rows, shingle, percent):
     return sets, [root(i) for i in range(len(rows))]
 
 
+def test_neardup_many_tiles(spark, monkeypatch):
+    """Tiles of three sets: a bucket of one large component and strangers, and of several components."""
+    monkeypatch.setattr(neardup, "TILE", 3)
+    rng = np.random.default_rng(15)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(100)]
+        for _ in range(40):  # 15 to 24 words of the end differ: some pairs alike, some apart, in the same buckets
+            own = list(base)
+            for p in rng.choice(100, int(rng.integers(0, 6)), replace=False):
+                own[p] = f"n{rng.integers(1e6)}"
+            rows.append(" ".join(own))
+    rows = list(enumerate(rows))
+    path = common.scratch(spark, "t")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    for percent in (80, 90):
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.read.parquet(path), 4, percent).collect()}
+        label = near_classes(rows, 4, percent)[1]
+        assert got == dict(enumerate(label)) and len(set(label)) > 5
+
+
 def test_neardup(spark, odd, empty):
     rng = np.random.default_rng(5)
     base = [f"w{rng.integers(2000)}" for _ in range(120)]
