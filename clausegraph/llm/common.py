@@ -87,12 +87,17 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` has it."""
+    while name in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``docs`` written with a number by row, and the name of that column. A scan numbered anew may be split otherwise (splits
     follow the executors alive), so whoever finds rows again by number reads this table."""
-    column = "row_id"
-    while column in {c.lower() for c in docs.columns}:
-        column = f"_{column}"
+    column = free_name(docs, "row_id")
     return materialise(docs.select("*", F.monotonically_increasing_id().alias(column)), name, compression="zstd"), column
 
 

@@ -143,10 +143,11 @@ def fit(x: np.ndarray, bags: np.ndarray, y: np.ndarray, epochs: int = 60, batch:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` documents with a non-null ``labels.quality`` whose crc32(doc_id) mod 5 is not 0: those of
-    the smallest hashes, and of them those up to ``SAMPLE_CHARS`` characters. Without any, every score is one constant."""
+    the smallest hashes, and of them those up to ``SAMPLE_CHARS`` characters; rows that repeat a doc_id count as one, that of
+    the smallest features. Without any, every score is one constant."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    chosen = known.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id", "quality").limit(sample)
+    chosen = known.distinct().orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id", "quality").limit(sample)
     # At most ``sample`` rows of 12 bytes.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
@@ -157,16 +158,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 x, at = passages(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x[a:b].astype(np.float32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])], ["doc_id", "quality", "x"])
 
-    got = rows.select("doc_id", "text", "quality").mapInArrow(encode, "doc_id long, quality int, x binary").collect()
+    encoded = rows.select("doc_id", "text", "quality").mapInArrow(encode, "doc_id long, quality int, x binary")
+    got = encoded.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect()  # at most ``sample`` rows
     got.sort(key=lambda r: (r["doc_id"], r["quality"], r["x"]))
     x = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES).astype(float) for r in got]
     return fit(np.concatenate(x) if x else np.zeros((0, FEATURES)), np.r_[0, np.cumsum([len(v) for v in x])].astype(int), np.array([float(r["quality"] > 0) for r in got]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``quality_score``, 0 to 1, from the whole text alone. A null text counts as empty; a text without words
-    is scored as one empty passage. Columns pass through, save one named quality_score, which is replaced."""
-    kept = docs.drop("quality_score")
+def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """``docs`` with the column ``name``, 0 to 1, from the whole text alone. A null text counts as empty; a text without words
+    is scored as one empty passage. Columns pass through, save one of that name, which is replaced."""
+    kept = docs.drop(name)
     small_batches(docs.sparkSession)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +177,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, "text"):
                 x, at = passages(part.column(part.schema.get_field_index("text")))
                 p = pa.array(model.forward(x, at)["p"], pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, p], [*part.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, p], [*part.schema.names, name])
 
-    return kept.mapInArrow(scored, T.StructType([*kept.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return kept.mapInArrow(scored, T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -550,7 +550,7 @@ def test_pipeline_stages(spark):
     kept = common.materialise(stage["quality"](spark, docs, DATA), "t")
     assert kept.columns == docs.columns and 0.5 * docs.count() < kept.count() < docs.count()
     named = common.materialise(stage["language"](spark, kept, DATA), "t")
-    assert named.columns == docs.columns and named.count() == kept.count()
+    assert named.columns == docs.columns and named.count() == kept.count()  # all are in learned languages
     single = common.materialise(stage["neardup"](spark, named, DATA), "t")
     rows = [(r["doc_id"], r["text"]) for r in named.orderBy("doc_id").collect()]
     label = near_classes(rows, 5, 80)[1]
@@ -561,3 +561,34 @@ def test_pipeline_stages(spark):
     packed = stage["packing"](spark, mixed, DATA)
     tokens = sum(len(i) for i in ids_of(WORD, [r["text"] for r in mixed.collect()]))
     assert packed.select(F.sum("length")).first()[0] == tokens
+
+
+FOREIGN = [
+    "Witamy w naszym sklepie internetowym, gdzie znajdziesz najlepsze produkty", "Benvenuti nel nostro negozio online, dove troverete i migliori prodotti", "xkjq wzvb qqpt zzrf klmw brtx", "これは日本語の文章です。東京に行きました。", "12 34 ++",
+]
+
+
+def test_pipeline_stages_take_any_columns(spark):
+    """Columns named as the stages name their own; nulls, empty texts, repeated rows, ties, no rows; foreign texts go."""
+    import corpus_pipeline
+
+    names = ["row_id", "epoch", "words", "took", "all_words", "quality_score", "lang_pred", "lang_score", "lang_fit", "doc_key"]
+    real = spark.read.parquet(f"{DATA}/documents.parquet").where("lang IS NOT NULL").limit(150).select("doc_id", "text", "lang", "source", "n_chars")
+    odd = [(900 + i, t, None, None, 1) for i, t in enumerate([*FOREIGN, None, "", " \n"])] + [(None, None, None, None, None), (7, "again", "en", "s", 5), (7, "again", "en", "s", 5)]
+    docs = real.union(spark.createDataFrame(odd, real.schema)).select("*", *[F.lit(n).alias(n) for n in names])
+    path = common.scratch(spark, "t")
+    docs.write.parquet(path)
+    docs = spark.read.parquet(path)
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.materialise(stage(spark, docs, DATA), "t")
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+        if name == "packing":
+            continue
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert all(r[n] == n for r in found for n in names)
+        ids = [r["doc_id"] for r in found]
+        if name == "language":
+            assert not {900 + i for i in range(len(FOREIGN))} & set(ids) and len([i for i in ids if i is not None and i < 900]) >= 148
+        if name == "neardup":
+            assert ids.count(7) == 1 + len([r for r in real.collect() if r["doc_id"] == 7]) and {905, 906, 907, None} <= set(ids)
