@@ -1,7 +1,8 @@
 """The corpus pipeline: documents through five operators; each stage is written as Parquet and read by the next.
 
-quality classifier (documents scored below the threshold go), language ID (documents without a determined language go),
+quality classifier (documents scored below the threshold go), language ID (documents of no learned language go),
 near-duplicates (one document of each group stays), mixing (documents repeat or go to meet the source targets), packing.
+All but the last return the columns of documents, whatever further columns those have and however they are named.
 """
 
 from __future__ import annotations
@@ -10,22 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegraph.llm import catalog, langid, mixing, neardup, packing, quality
-from clausegraph.llm.common import materialise, numbered
+from clausegraph.llm.common import free_name, materialise, numbered
 
-QUALITY, LANGUAGE = 0.3, 0.5
+#: Least quality score; least posterior of a document's language; least fit: log-probability a character, against that of the
+#: texts the language was learned from. Its own texts lie between -0.8 and 0.3, other languages and noise below -2.5.
+QUALITY, LANGUAGE, FIT = 0.3, 0.5, -2.0
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is ``QUALITY`` or more; labels come from the ``labels`` table beside the documents."""
     model = quality.learn(docs, catalog.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("quality_score") >= QUALITY).drop("quality_score")
+    name = free_name(docs, "quality_score")
+    return quality.score(docs, model, name).where(F.col(name) >= QUALITY).drop(name)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined with a posterior of ``LANGUAGE`` or more."""
+    """Documents in a learned language: its posterior is ``LANGUAGE`` or more, and the text fits it by ``FIT`` or more, which
+    texts in other languages, mixtures and noise do not, though one learned language is always the least unlikely."""
     model = langid.learn(docs, catalog.vocabulary("piece_bpe_32k.model"))
-    named = langid.identify(docs, model)
-    return named.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") >= LANGUAGE)).drop("lang_pred", "lang_score")
+    names = tuple(free_name(docs, n) for n in ("lang_pred", "lang_score", "lang_fit"))
+    named = langid.identify(docs, model, names)
+    sure = (F.col(names[0]) != langid.UNDETERMINED) & (F.col(names[1]) >= LANGUAGE) & (F.col(names[2]) >= FIT)
+    return named.where(sure).drop(*names)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +49,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per document and epoch that the mix takes. Of a document that a source's target cuts (one a source and epoch
     at most) the first words stay, joined by single spaces; n_chars follows the text."""
     stored, number = numbered(docs, "pipeline-documents")
-    taken = mixing.mix(stored, row_id=number).rows.select(F.col("row_id").alias(number), "epoch", "words", F.col("size").alias("all_words"))
-    rows = stored.join(taken, number)
+    took = free_name(docs, "took")
+    take = F.struct("words", F.col("size").alias("of")).alias(took)
+    rows = stored.join(mixing.mix(stored, row_id=number).rows.select(F.col("row_id").alias(number), take), number)
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("words") < F.col("all_words"), F.array_join(F.slice(words, 1, F.col("words").cast("int")), " ")).otherwise(F.col("text"))
-    out = rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    part = F.col(took)["words"] < F.col(took)["of"]
+    text = F.when(part, F.array_join(F.slice(words, 1, F.col(took)["words"].cast("int")), " ")).otherwise(F.col("text"))
+    out = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
