@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that stand for others, one for one, so that offsets stay.
 SPACES, APOSTROPHES, QUOTES, DASHES = "    ", "‘’ʼ", "“”„", "‐‑‒–—−"
 ACCENTED, PLAIN = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+# The months in French.
+MONTHS = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
 # Determiners that a label loses at its head.
 DETERMINERS = ("l'", "d'", "le", "la", "les", "un", "une", "des", "du", "de", "au", "aux", "ce", "cet", "cette", "ces", "son", "sa", "ses", "leur", "leurs", "tout", "toute", "tous", "toutes", "chaque", "notre", "nos", "présent", "présente")
 
@@ -30,6 +36,22 @@ def label(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(plain), f"^(?:(?:{heads}) )+", ""))
 
 
+@F.pandas_udf(StringType())
+def composed(values: pd.Series) -> pd.Series:
+    """Unicode normal form C: no built-in function has it."""
+    return values.map(lambda v: v if v is None else unicodedata.normalize("NFC", v))
+
+
+def lemma(words: Column) -> Column:
+    """A label with each word of four letters or more as its singular: s and x go, -aux becomes -al, -ss stays."""
+    one = lambda w: F.when(F.length(w) < 4, w).when(w.rlike("eaux$"), F.regexp_replace(w, "x$", "")).when(w.rlike("aux$"), F.regexp_replace(w, "aux$", "al")).when(w.rlike("[^s]s$|[^o]x$"), F.regexp_replace(w, ".$", "")).otherwise(w)
+    return F.array_join(F.transform(F.split(words, " "), one), " ")
+
+
+def canonical_form(text: Column) -> Column:
+    return lemma(label(text))
+
+
 def fingerprint(text: Column) -> Column:
     """The first 16 hex digits of SHA-256."""
     return F.substring(F.sha2(text, 256), 1, 16)

@@ -8,16 +8,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausegraph.operators.ranking import fixed
 
-def ancestors(parents: DataFrame, depth: int = 8) -> DataFrame:
-    """(place, ancestor, distance) from ``parents(place, parent)``; at most ``depth`` steps, cycles end there."""
-    step = parents.where("parent IS NOT NULL").select("place", "parent")
-    level = step.select("place", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    out = level
-    for d in range(2, depth + 1):
-        level = level.alias("l").join(step.alias("s"), F.col("l.ancestor") == F.col("s.place")).select("l.place", F.col("s.parent").alias("ancestor"), F.lit(d).alias("distance"))
+
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(place, ancestor, distance) from ``parents(place, parent)``, to any depth: until no pair is new, so cycles end too."""
+    step = parents.where("parent IS NOT NULL").select("place", "parent").distinct()
+    out = level = fixed(step.select("place", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
+    distance = 1
+    while not level.isEmpty():
+        distance += 1
+        met = level.alias("l").join(step.alias("s"), F.col("l.ancestor") == F.col("s.place")).select("l.place", F.col("s.parent").alias("ancestor")).distinct()
+        level = fixed(met.join(out, ["place", "ancestor"], "left_anti").withColumn("distance", F.lit(distance)))
         out = out.union(level)
-    return out.groupBy("place", "ancestor").agg(F.min("distance").alias("distance"))
+    return out
 
 
 def spatial_relation(a: Column, b: Column, a_below_b: Column, b_below_a: Column, siblings: Column) -> Column:
@@ -68,11 +72,32 @@ def scope_relation(relations: DataFrame) -> DataFrame:
     all_ = any_.join(inside, ["a", "b"]).join(around, ["a", "b"])
     verdict = (
         F.when(F.col("apart") == 1, "DISJOINT").when((F.col("a_in_b") == 1) & (F.col("b_in_a") == 1), "IDENTITY").when(F.col("a_in_b") == 1, "INCLUDED_IN")
-        .when(F.col("b_in_a") == 1, "INCLUDES").when(F.col("open") == 1, "UNDETERMINED").otherwise("OVERLAPS")
+        .when(F.col("b_in_a") == 1, "INCLUDES").otherwise("UNDETERMINED")
     )
     return all_.select("a", "b", verdict.alias("relation"))
 
 
+def scopes(pairs: DataFrame, held: DataFrame, related: DataFrame) -> DataFrame:
+    """(a, b, relation) for every row of ``pairs(a, b)`` from ``held(clause, cond)`` and ``related(cond_a, cond_b, relation)``:
+    no condition on either side is the same scope, none on one side is the wider one. Equal conditions are identical, pairs
+    that ``related`` lacks are undetermined; a relation counts in the other direction too."""
+    a = held.select(F.col("clause").alias("a"), F.col("cond").alias("cond_a"))
+    b = held.select(F.col("clause").alias("b"), F.col("cond").alias("cond_b"))
+    back = F.when(F.col("relation") == "INCLUDED_IN", "INCLUDES").when(F.col("relation") == "INCLUDES", "INCLUDED_IN").otherwise(F.col("relation"))
+    known = related.unionByName(related.select(F.col("cond_b").alias("cond_a"), F.col("cond_a").alias("cond_b"), back.alias("relation"))).distinct()
+    grid = pairs.select("a", "b").distinct().join(a, "a").join(b, "b").join(known, ["cond_a", "cond_b"], "left")
+    grid = grid.withColumn("relation", F.when(F.col("cond_a") == F.col("cond_b"), "IDENTITY").otherwise(F.coalesce("relation", F.lit("UNDETERMINED"))))
+    has_a, has_b = (held.select(F.col("clause").alias(c), F.lit(True).alias(f"has_{c}")).distinct() for c in ("a", "b"))
+    both = pairs.select("a", "b").distinct().join(has_a, "a", "left").join(has_b, "b", "left").join(scope_relation(grid), ["a", "b"], "left")
+    empty_a, empty_b = F.col("has_a").isNull(), F.col("has_b").isNull()
+    return both.select("a", "b", F.when(empty_a & empty_b, "IDENTITY").when(empty_b, "INCLUDED_IN").when(empty_a, "INCLUDES").otherwise(F.col("relation")).alias("relation"))
+
+
+def typed_relation(kind_a: Column, kind_b: Column, spatial: Column, threshold: Column, same_surface: Column) -> Column:
+    """Relation of two conditions by kind: equal surfaces are identical, other kinds than the other's undetermined."""
+    return F.when(same_surface, "IDENTITY").when(kind_a != kind_b, "UNDETERMINED").when(kind_a == "SPATIAL", spatial).when(kind_a == "SEUIL", threshold).otherwise("UNDETERMINED")
+
+
 def effective_scope(conditions: Column, quantities: Column) -> Column:
     """Condition surfaces without those that hold a quantity's surface."""
     return F.filter(conditions, lambda c: ~F.exists(quantities, lambda q: F.contains(c, q)))

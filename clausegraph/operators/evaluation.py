@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +40,65 @@ def reduction(candidates: DataFrame, theoretical: DataFrame) -> DataFrame:
     n = candidates.agg(F.count("*").alias("candidates"), F.lit(None).cast("long").alias("theoretical"))
     both = n.unionByName(theoretical.select(F.lit(None).cast("long").alias("candidates"), "theoretical")).agg(F.max("candidates").alias("candidates"), F.max("theoretical").alias("theoretical"))
     return both.withColumn("reduction", F.round(F.when(F.col("theoretical") > 0, 1 - F.col("candidates") / F.col("theoretical")).otherwise(0.0), 9))
+
+
+def matched(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """(key, in_scope, expected, found) per unordered set of sides, from ``found(sides)`` and ``truth(sides, in_scope)``, arrays of
+    sides as strings: one full join on the sorted set."""
+    key = F.array_join(F.array_sort(F.array_distinct(F.array_compact("sides"))), "|").alias("key")
+    a = truth.groupBy(key).agg(F.bool_or("in_scope").alias("in_scope"), F.lit(True).alias("expected"))
+    b = found.select(key).distinct().withColumn("found", F.lit(True))
+    both = a.join(b, "key", "full")
+    return both.select("key", F.coalesce("in_scope", F.lit(True)).alias("in_scope"), F.coalesce("expected", F.lit(False)).alias("expected"), F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def scale(rows: DataFrame, targeted: DataFrame) -> DataFrame:
+    """Precision, recall, F1 and targeting recall in two scopes, all and in_scope, from :func:`matched` rows and
+    ``targeted(key)``, the pairs that reached detection."""
+    marked = rows.join(targeted.select("key", F.lit(True).alias("targeted")).distinct(), "key", "left")
+    both = marked.withColumn("scope", F.explode(F.when(F.col("in_scope"), F.array(F.lit("ALL"), F.lit("IN_SCOPE"))).otherwise(F.array(F.lit("ALL")))))
+    e, f, t = F.col("expected"), F.col("found"), F.coalesce("targeted", F.lit(False))
+    counts = both.groupBy("scope").agg(F.count_if(e & f).alias("tp"), F.count_if(~e & f).alias("fp"), F.count_if(e & ~f).alias("fn"), F.count_if(e & t).alias("reached"))
+    ratio = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return counts.select("scope", "tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(F.col("reached"), tp + fn).alias("targeting_recall"))
+
+
+def target_number(target: Column) -> Column:
+    """The number in a target written in words: ``>= 10/12`` is a ratio, else the first number; null without one."""
+    text = F.replace(target, F.lit(","), F.lit("."))
+    pattern = r"(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)"
+    top, base = (F.regexp_extract(text, pattern, g) for g in (1, 2))
+    ratio = F.try_divide(F.nullif(top, F.lit("")).cast("double"), F.nullif(base, F.lit("")).cast("double"))
+    return F.when(text.rlike(pattern), F.coalesce(ratio, F.lit(0.0))).otherwise(F.nullif(F.regexp_extract(text, r"\d+(?:\.\d+)?", 0), F.lit("")).cast("double"))
+
+
+def target_range(target: Column) -> Column:
+    """struct(low, high) of a range such as ``80 a 140``; null with fewer than two numbers."""
+    found = F.regexp_extract_all(F.replace(target, F.lit(","), F.lit(".")), F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1))
+    return F.when(F.size(found) >= 2, F.struct(F.get(found, F.lit(0)).cast("double").alias("low"), F.get(found, F.lit(1)).cast("double").alias("high")))
+
+
+def proof_audit(sides: DataFrame) -> DataFrame:
+    """Failing rows of ``sides(rubric, id, representative, proof, source)`` with a motif: findings must have a proof, others only a
+    literal one if any; a group's representative occurrence is not looked at twice."""
+    proof = F.trim(F.coalesce("proof", F.lit("")))
+    must = F.col("rubric") == "FINDING"
+    motif = F.when((proof == "") & must, "PREUVE_ABSENTE").when(proof == "", None).when(F.col("source").isNull(), "TEXTE_SOURCE_ABSENT").when(~F.contains("source", F.col("proof")), "PREUVE_NON_LITTERALE")
+    return sides.where("rubric <> 'OCCURRENCE' OR NOT representative").select("rubric", "id", motif.alias("motif")).where("motif IS NOT NULL")
+
+
+def contribution(with_keys: DataFrame, without: DataFrame) -> DataFrame:
+    """Pairs (a, b) that only the first plan gives."""
+    return with_keys.select("a", "b").exceptAll(without.select("a", "b"))
+
+
+def global_budget(rows: DataFrame, factor: int = 4) -> DataFrame:
+    """budget: ``factor`` times the most clauses of one document of ``rows(doc)``."""
+    return rows.groupBy("doc").agg(F.count("*").alias("n")).agg((factor * F.coalesce(F.max("n"), F.lit(0))).cast("long").alias("budget"))
+
+
+def ablation(branches: dict[str, DataFrame], truth: DataFrame) -> DataFrame:
+    """(branch, pairs, hits): what each configuration's pairs (a, b) hold of ``truth(a, b)``; one plan a branch."""
+    counted = [b.select("a", "b").distinct().join(truth.select("a", "b", F.lit(1).alias("hit")).distinct(), ["a", "b"], "left").agg(F.count("*").alias("pairs"), F.count("hit").alias("hits")).select(F.lit(n).alias("branch"), "pairs", "hits") for n, b in branches.items()]
+    return reduce(DataFrame.union, counted)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clausegraph.operators.segmentation import MONTHS
+from clausegraph.functions.text import MONTHS
 
 # The vocabulary of obligations, quantities, conditions, references and dates in French procedures.
 MARKERS = {
@@ -38,10 +38,32 @@ def first_key(text: Column, table: dict) -> Column:
     return out
 
 
+# What a negated modality becomes; words between a negation and its verb.
+INVERTED = {"OBLIGATION": "INTERDICTION", "INTERDICTION": "PERMISSION", "PERMISSION": "INTERDICTION"}
+NEGATION = r"(?<!\p{L})n(?:e |'|’)(?:(?:l'|le |la |les |y |en )?)"
+
+
 def modality(text: Column) -> Column:
-    """DEFINITION first, else the longest marker's modality; null without one."""
+    """DEFINITION first, else the longest marker's modality; null without one. A marker stands between word boundaries, with
+    a participle's ending or none; right after a negation that is no part of it, it is inverted."""
     low = F.lower(text)
-    return F.when(low.rlike(DEFINITIONS), "DEFINITION").otherwise(first_key(low, MARKERS))
+    found = F.lit(None).cast("string")
+    for marker, value in sorted(MARKERS.items(), key=lambda kv: (len(kv[0]), kv[0])):
+        word = marker + r"(?:e|s|es)?(?!\p{L})"
+        own = F.lit(value)
+        if not marker.startswith(("ne ", "n'")) and value in INVERTED:
+            own = F.when(low.rlike(NEGATION + word), INVERTED[value]).otherwise(value)
+        found = F.when(low.rlike(r"(?<!\p{L})" + word), own).otherwise(found)
+    return F.when(low.rlike(DEFINITIONS), "DEFINITION").otherwise(found)
+
+
+def modality_surface(text: Column) -> Column:
+    """The words of the longest marker as they stand in the text; null without one."""
+    found = F.lit(None).cast("string")
+    for marker in sorted(MARKERS, key=lambda m: (len(m), m)):
+        pattern = r"(?iu)(?<!\p{L})(" + marker + r"(?:e|s|es)?)(?!\p{L})"
+        found = F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(found)
+    return found
 
 
 def number(found: Column) -> Column:
@@ -62,10 +84,15 @@ def duration_seconds(value: Column, unit: Column) -> Column:
     return F.when(unit.startswith("mois"), F.bround(value * 31536000 / 12)).otherwise(F.bround(value * per)).cast("long")
 
 
+def without_dates(text: Column) -> Column:
+    """The text with its dates in words blanked, so that their numbers are no quantities."""
+    return F.regexp_replace(text, r"(?iu)\d{1,2}(?:er)? (?:" + "|".join(MONTHS) + r") \d{4}", " ")
+
+
 def quantity(text: Column) -> Column:
     """The first that applies, as struct(role, si, calendar_si, status): vague delay, retention, training, accreditation,
     headcount, periodicity, delay, decibels, metres. Null without one."""
-    low = F.lower(text)
+    low = F.lower(without_dates(text))
     got = lambda pattern, g: F.nullif(F.regexp_extract(low, pattern, g), F.lit(""))
     span = NUMBER + r" +(minutes?|heures?|jours?|semaines?|mois|ans?|années?)"
     value, unit = number(got(span, 1)), got(span, 2)
@@ -91,6 +118,13 @@ def quantity(text: Column) -> Column:
     )
 
 
+def quantity_surface(text: Column) -> Column:
+    """The words of the text that a quantity stands in, as they are; null without one."""
+    units = r"(?:minutes?|heures?|jours?(?: ouvrés?)?|semaines?|mois|trimestres?|semestres?|ans?|années?|mètres?|dB(?:\(A\))?)"
+    patterns = (NUMBER + " +" + units + r"(?!\p{L})", NUMBER + r" fois par \p{L}+", r"(?:chaque|tous les|toutes les) +(?:semaine|mois|trimestre|semestre|an|année)s?(?!\p{L})", r"(?:hebdomadaire|mensuel|trimestriel|semestriel|annuel|bimensuel|bimestriel)\p{L}*", "dans la semaine|sous quinzaine|sans délai|immédiatement", r"(?:minimum|fixé à) " + NUMBER)
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, f"(?iu)(?<!\\p{{L}})(?:{p})", 0), F.lit("")) for p in patterns])
+
+
 def conditions(text: Column) -> Column:
     """Each marker at most once, longest first: array of struct(kind, surface), a surface running to the next , . or ;"""
     low = F.lower(text)

@@ -10,7 +10,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+from clausegraph.operators.ranking import fixed
+
+BLOCK, RUN = 2048, 8
 
 
 def unit_blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -37,9 +39,12 @@ def unit_blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def nearest(vectors: DataFrame, k: int) -> DataFrame:
     """(a, b, score): each row's k nearest rows by cosine, itself included; ties to the smaller id."""
-    blocks = unit_blocks(vectors)
-    left = blocks.select("dim", F.col("ids").alias("ids_a"), F.col("x").alias("x_a"))
-    right = blocks.select("dim", F.col("ids").alias("ids_b"), F.col("x").alias("x_b"))
+    blocks = fixed(unit_blocks(vectors))
+    parts = max(1, -(-blocks.count() // RUN))
+    own, every = F.pmod(F.xxhash64("block"), F.lit(parts)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    # A grid: a cell joins about RUN blocks with RUN blocks, so no task meets them all.
+    left = blocks.select("dim", own.alias("i"), every.alias("j"), F.col("ids").alias("ids_a"), F.col("x").alias("x_a"))
+    right = blocks.select("dim", every.alias("i"), own.alias("j"), F.col("ids").alias("ids_b"), F.col("x").alias("x_b"))
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,6 +56,6 @@ def nearest(vectors: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, n)), pa.array(b[order].ravel()), pa.array(np.take_along_axis(score, order, axis=1).ravel())], ["a", "b", "score"])
 
     # Blocks against blocks of the same dimension: a row stands for thousands of vectors.
-    pairs = left.join(right, "dim").select("dim", "ids_a", "x_a", "ids_b", "x_b").mapInArrow(met, "a long, b long, score double")
+    pairs = left.join(right, ["dim", "i", "j"]).select("dim", "ids_a", "x_a", "ids_b", "x_b").mapInArrow(met, "a long, b long, score double")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")

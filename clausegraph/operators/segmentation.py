@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausegraph.functions.text import fingerprint
+from clausegraph.operators.sentences import qualifies
 
 # The numbering and bullets of a procedure.
 CLAUSE = r"^(\d{1,2})\.(\d{1,2})[ \t]+\S"
@@ -13,7 +14,6 @@ TITLE = r"^(\d{1,2})\.[ \t]+\S"
 BULLET = r"^[ \t]*([a-z]\)|\d{1,2}\)|[-•*–])[ \t]+"
 TITLE_LENGTH = 80
 CODE_LEVELS = {"POL": ("POLITIQUE", 1), "MAN": ("MANUEL", 2), "PR": ("PROCEDURE", 3), "IT": ("INSTRUCTION", 4), "FOR": ("FORMULAIRE", 5)}
-MONTHS = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -39,16 +39,25 @@ def structured(rows: DataFrame) -> DataFrame:
 
 
 def clauses(rows: DataFrame) -> DataFrame:
-    """Clauses of :func:`structured` rows: clause_id ``doc::Ssec::Cnn``, ref, kind (TEXT, LIST, TABLE), text, start, hash.
-
-    A numbered line opens a clause and what follows in its block belongs to it; a block under a clause that ends with ``:``
-    does too. A head with bullets alone gives a clause per bullet, head and item joined; a head with two lines or more of
-    two separators gives a clause per row under the header."""
-    here = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    """Clauses of :func:`structured` rows: clause_id ``doc::Ssec::Cnn``, ord (in the document), ref, kind (TEXT, LIST, TABLE),
+    text, start, context, hash.
+
+    A numbered line opens a unit and what follows in its block belongs to it; a block under a unit that ends with ``:``
+    does too; any other block is a unit without a number, whose ref is the last one and ``+``, or section and ``.0``. A unit
+    without a number that is no statement (:func:`~clausegraph.operators.sentences.qualifies`) is no clause but context of
+    the clause before it. A head with bullets alone gives a clause per bullet, head and item joined; a head with two lines or
+    more of two separators gives a clause per row under the header."""
+    order = Window.partitionBy("id").orderBy("pos")
+    here = order.rowsBetween(Window.unboundedPreceding, 0)
     filled = rows.where((F.trim("line") != "") & ~is_title(F.col("line")) & (F.col("start") >= F.col("body")))
-    opened = filled.withColumn("unit", F.sum(F.col("ref").isNotNull().cast("long")).over(here)).where("unit > 0")
+    new_block = F.coalesce(F.col("block") != F.lag("block").over(order), F.lit(True))
+    after_colon = F.coalesce(F.rtrim(F.lag("line").over(order)).endswith(":"), F.lit(False))
+    opens = F.col("ref").isNotNull() | (new_block & ~after_colon)
+    opened = filled.withColumn("unit", F.sum(opens.cast("long")).over(here))
     unit = opened.groupBy("id", "unit").agg(F.first("section", True).alias("section"), F.first("ref", True).alias("ref"), F.sort_array(F.collect_list(F.struct("pos", "line", "start"))).alias("all"))
-    head, rest = F.element_at("all", 1), F.slice("all", 2, 1_000_000)
+    last_ref = F.last("ref", True).over(Window.partitionBy("id", "section").orderBy("unit").rowsBetween(Window.unboundedPreceding, 0))
+    unit = unit.withColumn("numbered", F.col("ref").isNotNull()).withColumn("ref", F.coalesce("ref", F.concat(last_ref, F.lit("+")), F.concat(F.coalesce(F.col("section").cast("string"), F.lit("0")), F.lit(".0"))))
+    head, rest = F.element_at("all", 1), F.slice("all", 2, F.size("all"))
     head_text = F.regexp_replace(head["line"], r"^\d{1,2}\.\d{1,2}[ \t]+", "")
     colon = F.rtrim(head_text).endswith(":") & (F.size(rest) > 0)
     bullets = colon & F.forall(rest, lambda x: x["line"].rlike(BULLET))
@@ -62,17 +71,22 @@ def clauses(rows: DataFrame) -> DataFrame:
 
     def row(x: Column) -> Column:
         cells = F.transform(F.split(x["line"], r"\|"), lambda c: F.trim(c))
-        pairs = F.slice(F.zip_with(names, cells, lambda n, c: F.concat(n, F.lit(" : "), c)), 2, 100)
+        pairs = F.slice(F.zip_with(names, cells, lambda n, c: F.concat(n, F.lit(" : "), c)), 2, F.size(cells))
         return F.struct(F.lit("TABLE").alias("kind"), F.concat(F.element_at(cells, 1), F.lit(" - "), F.array_join(pairs, " ; "), F.lit(".")).alias("text"), x["start"].alias("start"))
 
     # A sentence's text is the source itself: head and following lines as they stand.
     plain = F.array(F.struct(F.lit("TEXT").alias("kind"), F.rtrim(F.concat_ws("\n", head_text, F.array_join(F.transform(rest, lambda x: x["line"]), "\n"))).alias("text"), (head["start"] + F.length(head["line"]) - F.length(head_text)).cast("long").alias("start")))
     plain = F.transform(plain, lambda x: F.struct(x["kind"].alias("kind"), F.regexp_replace(x["text"], "\n$", "").alias("text"), x["start"].alias("start")))
-    parts = F.when(bullets, F.transform(rest, item)).when(table, F.transform(F.slice(bars, 2, 1_000_000), row)).otherwise(plain)
-    out = unit.select("id", "section", "ref", F.posexplode(parts).alias("part", "c")).select("id", "section", "ref", "part", "c.kind", "c.text", "c.start")
+    parts = F.when(bullets, F.transform(rest, item)).when(table, F.transform(F.slice(bars, 2, F.size(bars)), row)).otherwise(plain)
+    out = unit.select("id", "section", "ref", "numbered", F.posexplode(parts).alias("part", "c")).select("id", "section", "ref", "numbered", "part", "c.kind", "c.text", "c.start")
+    # Units that state nothing are gathered under the clause before them.
+    out = out.withColumn("states", F.col("numbered") | (F.col("kind") != "TEXT") | qualifies(F.col("text")))
+    out = out.withColumn("place", F.sum(F.col("states").cast("long")).over(Window.partitionBy("id").orderBy("start", "part").rowsBetween(Window.unboundedPreceding, 0)))
+    beside = out.where(~F.col("states")).groupBy("id", "place").agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]).alias("context"))
+    out = out.where("states").join(beside, ["id", "place"], "left").withColumn("context", F.coalesce("context", F.array().cast("array<string>")))
     number = F.row_number().over(Window.partitionBy("id", "section").orderBy("start", "part"))
-    name = F.concat(F.col("id").cast("string"), F.lit("::S"), F.coalesce(F.col("section").cast("string"), F.lit("0")), F.lit("::C"), F.lpad(number.cast("string"), 2, "0"))
-    return out.select("id", name.alias("clause_id"), "section", "ref", "kind", "text", "start", fingerprint(F.col("text")).alias("hash"))
+    name = F.concat(F.col("id").cast("string"), F.lit("::S"), F.coalesce(F.col("section").cast("string"), F.lit("0")), F.lit("::C"), F.when(number < 10, F.lpad(number.cast("string"), 2, "0")).otherwise(number.cast("string")))
+    return out.select("id", name.alias("clause_id"), F.col("place").alias("ord"), "section", "ref", "kind", "text", "start", "context", fingerprint(F.col("text")).alias("hash"))
 
 
 def offset_gaps(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -82,7 +96,8 @@ def offset_gaps(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def front_matter(rows: DataFrame) -> DataFrame:
-    """(id, code, title, version, applies, type, level) from the lines before the first title."""
+    """(id, code, title, version, applies, type, level, notes) from the lines before the first title; notes are the lines after
+    the first ``key : value`` line that are none themselves."""
     head = rows.where(F.col("start") < F.col("body"))
     key = F.lower(F.trim(F.regexp_extract("line", r"^([^:]+):", 1)))
     value = F.trim(F.regexp_extract("line", r"^[^:]+:(.*)$", 1))
@@ -90,8 +105,10 @@ def front_matter(rows: DataFrame) -> DataFrame:
     first_key = F.min(F.when(key.isin("version", "date d'application"), F.col("pos"))).over(Window.partitionBy("id"))
     titled = head.withColumn("first_key", first_key).withColumn("is_title", (F.col("pos") < F.coalesce("first_key", F.lit(1 << 30))) & (F.trim("line") != "") & ~F.col("line").rlike(r"^[A-Z]{2,4}-[A-Z]{2,4}-\d{2,3}\s*$"))
     title = F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.when(F.col("is_title"), F.struct("pos", F.trim("line").alias("line"))))), lambda x: x["line"]))
+    after = (F.col("pos") > F.col("first_key")) & (F.trim("line") != "") & ~F.col("line").rlike(r"^[^:]+ ?:")
+    notes = F.transform(F.sort_array(F.collect_list(F.when(after, F.struct("pos", F.trim("line").alias("line"))))), lambda x: x["line"])
     date = F.max(F.when(key == "date d'application", F.coalesce(F.try_to_timestamp(value, F.lit("dd/MM/yyyy")), F.try_to_timestamp(value, F.lit("yyyy-MM-dd"))).cast("date")))
-    got = titled.groupBy("id").agg(code.alias("code"), title.alias("title"), F.max(F.when(key == "version", value)).alias("version"), date.alias("applies"))
+    got = titled.groupBy("id").agg(code.alias("code"), title.alias("title"), F.max(F.when(key == "version", value)).alias("version"), date.alias("applies"), notes.alias("notes"))
     kind, level = F.lit("INCONNU"), F.lit(None).cast("int")
     for prefix, (k, n) in sorted(CODE_LEVELS.items(), key=lambda x: len(x[0])):
         kind, level = F.when(F.startswith("code", F.lit(prefix)), k).otherwise(kind), F.when(F.startswith("code", F.lit(prefix)), n).otherwise(level)

@@ -203,7 +203,7 @@ def _lattice(t: Tables) -> DataFrame:
 
 @query(f"WITH RECURSIVE p AS ({LATTICE}), up AS (SELECT place, parent AS ancestor, 1 AS distance FROM p UNION ALL SELECT up.place, p.parent, distance + 1 FROM up JOIN p ON up.ancestor = p.place) SELECT place, ancestor, distance FROM up")
 def place_ancestors(t: Tables) -> DataFrame:
-    return conditions.ancestors(_lattice(t), 4)
+    return conditions.ancestors(_lattice(t))
 
 
 @query(f"""WITH p AS ({LATTICE}), c AS (SELECT row_number() OVER (ORDER BY place) AS id, place FROM p),
@@ -231,7 +231,7 @@ SCOPES = """WITH c AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS p FROM
 b AS (SELECT a, b, min(m) AS i FROM (SELECT a, b, cb, max(CASE WHEN r IN ('IDENTITY', 'INCLUDED_IN') THEN 1 ELSE 0 END) AS m FROM g GROUP BY ALL) GROUP BY a, b),
 a AS (SELECT a, b, min(m) AS i FROM (SELECT a, b, ca, max(CASE WHEN r IN ('IDENTITY', 'INCLUDES') THEN 1 ELSE 0 END) AS m FROM g GROUP BY ALL) GROUP BY a, b),
 d AS (SELECT a, b, bool_or(r = 'DISJOINT') AS apart FROM g GROUP BY a, b)
-SELECT d.a, d.b, CASE WHEN apart THEN 'DISJOINT' WHEN b.i = 1 AND a.i = 1 THEN 'IDENTITY' WHEN b.i = 1 THEN 'INCLUDED_IN' WHEN a.i = 1 THEN 'INCLUDES' ELSE 'OVERLAPS' END AS relation FROM d JOIN a ON a.a = d.a AND a.b = d.b JOIN b ON b.a = d.a AND b.b = d.b"""
+SELECT d.a, d.b, CASE WHEN apart THEN 'DISJOINT' WHEN b.i = 1 AND a.i = 1 THEN 'IDENTITY' WHEN b.i = 1 THEN 'INCLUDED_IN' WHEN a.i = 1 THEN 'INCLUDES' ELSE 'UNDETERMINED' END AS relation FROM d JOIN a ON a.a = d.a AND a.b = d.b JOIN b ON b.a = d.a AND b.b = d.b"""
 
 
 @query(SCOPES)

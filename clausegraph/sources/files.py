@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegraph.functions.text import line_ends
+from clausegraph.functions.text import composed, line_ends
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
-    """(id, text): whole text files, id being the file's name; line ends and byte-order marks normalised."""
+    """(id, text): whole text files, id being the file's name; line ends, byte-order marks and Unicode form normalised."""
     raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("id"), F.col("value").alias("text"))
-    return raw.withColumn("text", line_ends(F.col("text")))
+    return raw.withColumn("text", composed(line_ends(F.col("text"))))
 
 
 def substituted(docs: DataFrame, doc_id: str, old: str, new: str) -> DataFrame:
@@ -50,9 +51,10 @@ def graph_counts(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def html_report(findings: DataFrame, title: str, most: int = 1000) -> str:
-    """One self-contained page of the ``most`` first findings (a top-k report)."""
-    rows = findings.limit(most).collect()
+def html_report(findings: DataFrame, title: str, order: list) -> Iterator[str]:
+    """One self-contained page of all findings by ``order``, piece by piece: a partition at a time is on the driver."""
     head = "".join(f"<th>{html.escape(c)}</th>" for c in findings.columns)
-    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v if v is not None else ''))}</td>" for v in r) + "</tr>" for r in rows)
-    return f"<!doctype html><html lang='fr'><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>{body}</table></html>"
+    yield f"<!doctype html><html lang='fr'><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>"
+    for row in findings.orderBy(*order).toLocalIterator():
+        yield "<tr>" + "".join(f"<td>{html.escape(str(v if v is not None else ''))}</td>" for v in row) + "</tr>"
+    yield "</table></html>"

@@ -114,4 +114,4 @@ def test_files(spark, tmp_path):
     with pytest.raises(Exception, match="one occurrence"):
         files.substituted(docs, "a.txt", "quatre", "4").collect()
     assert files.read_json(spark, str(tmp_path / "none.json"), "a int").count() == 0
-    assert "&lt;b&gt;" in files.html_report(spark.createDataFrame([("<b>",)], "x string"), "r")
+    assert "&lt;b&gt;" in "".join(files.html_report(spark.createDataFrame([("<b>",)], "x string"), "r", ["x"]))
