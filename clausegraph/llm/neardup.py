@@ -289,20 +289,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, row_id
     links = confirmed(stars, full, percent)
     labels = components(links)
 
-    # What is still apart within a bucket. Its largest component lies in tiles, and so do all others; each tile of those meets
-    # every tile of both, so a large component with few strangers is copied about once, not once a tile.
+    # What is still apart within a bucket. One that fits a tile is a cell. Else its largest component lies in tiles, and so do
+    # all others; each tile of those meets every tile of both (of one stranger's component only the first's), so a large
+    # component with few strangers is copied about once, not once a tile.
     named = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("component", "set_id"))
     apart = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
     rest = materialise(named.join(apart, "bucket", "left_semi").select("bucket", "set_id", "cls", "label", F.col("n").alias("n")), "neardup-apart")
     per_label = rest.groupBy("bucket", "label").agg(F.count("*").alias("m"))
-    tops = per_label.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top")).select("bucket", F.col("top.label").alias("top"), F.col("top.m").alias("m"))
+    tops = per_label.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).select("bucket", F.col("top.label").alias("top"), F.col("top.m").alias("m"), "labels")
     rest = rest.join(tops, "bucket").withColumn("big", F.col("label") == F.col("top")).withColumn("tiles", F.ceil(F.col("m") / TILE)).withColumn("others", F.ceil((F.col("n") - F.col("m")) / TILE))
     rest = rest.withColumn("tile", F.pmod(F.xxhash64("set_id"), F.when(F.col("big"), F.col("tiles")).otherwise(F.col("others"))))
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     cell = lambda kind, lo, hi, side: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"), side.cast("long").alias("side"))
     mine = F.col("tile")
-    among = F.transform(upto("others"), lambda o: cell(0, F.least(mine, o), F.greatest(mine, o), mine))
-    across = F.when(F.col("big"), F.transform(upto("others"), lambda o: cell(1, mine, o, F.lit(0)))).otherwise(F.concat(among, F.transform(upto("tiles"), lambda o: cell(1, o, mine, F.lit(1)))))
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<struct<kind:int,lo:bigint,hi:bigint,side:bigint>>")
+    among = F.when(F.col("labels") > 2, F.transform(upto("others"), lambda o: cell(0, F.least(mine, o), F.greatest(mine, o), mine))).otherwise(none)
+    across = F.when(F.col("n") <= TILE, F.array(cell(0, zero, zero, zero))).when(F.col("big"), F.transform(upto("others"), lambda o: cell(1, mine, o, F.lit(0)))).otherwise(F.concat(among, F.transform(upto("tiles"), lambda o: cell(1, o, mine, F.lit(1)))))
     rest = rest.select("bucket", "set_id", "cls", "label", across.alias("cells")).join(sides, ["set_id", "cls"]).join(full, "set_id").withColumn("band", F.expr(f"cast((bucket & 4095) % {BANDS} as int)")).withColumn("c", F.explode("cells"))
     rest = rest.select("bucket", "c.kind", "c.lo", "c.hi", "c.side", "set_id", "label", F.col("n").alias("size"), "band", "registers", "shingles")
 
