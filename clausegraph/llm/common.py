@@ -84,7 +84,15 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch_path = path
+    return made
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialise` that nothing reads any more; what was made from them is written itself."""
+    for table in tables:
+        discard(table.sparkSession, table.scratch_path)
 
 
 def free_name(docs: DataFrame, name: str) -> str:

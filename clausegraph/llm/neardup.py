@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausegraph.llm.common import SLICE_BYTES, kept_between_tasks, let_go, materialise, numbered, slices, small_batches, text_buffer
+from clausegraph.llm.common import SLICE_BYTES, forget, kept_between_tasks, let_go, materialise, numbered, slices, small_batches, text_buffer
 
 REGISTER_BITS, MANTISSA_BITS, BAND = 9, 10, 8
 REGISTERS = 1 << REGISTER_BITS
@@ -286,6 +286,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, row_id
     stars = stars.join(sides.select(F.col("set_id").alias("a"), "cls", F.col("registers").alias("x")), ["a", "cls"]).join(sides.select(F.col("set_id").alias("b"), "cls", F.col("registers").alias("y")), ["b", "cls"])
     stars = materialise(stars.select("a", "b", "x", "y").mapInArrow(excluded, "a long, b long"), "neardup-stars")
     full = materialise(shingle_table(docs, candidates, shingle), "neardup-sets")
+    if row_id is None:
+        forget(docs)  # ids and sets stand in tables of their own
     links = confirmed(stars, full, percent)
     labels = components(links)
 
@@ -294,7 +296,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, row_id
     # component with few strangers is copied about once, not once a tile.
     named = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("component", "set_id"))
     apart = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    rest = materialise(named.join(apart, "bucket", "left_semi").select("bucket", "set_id", "cls", "label", F.col("n").alias("n")), "neardup-apart")
+    rest = held = materialise(named.join(apart, "bucket", "left_semi").select("bucket", "set_id", "cls", "label", "n"), "neardup-apart")
     per_label = rest.groupBy("bucket", "label").agg(F.count("*").alias("m"))
     tops = per_label.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).select("bucket", F.col("top.label").alias("top"), F.col("top.m").alias("m"), "labels")
     rest = rest.join(tops, "bucket").withColumn("big", F.col("label") == F.col("top")).withColumn("tiles", F.ceil(F.col("m") / TILE)).withColumn("others", F.ceil((F.col("n") - F.col("m")) / TILE))
@@ -347,6 +349,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, row_id
     tiled = rest.repartition("bucket", "kind", "lo", "hi").sortWithinPartitions("bucket", "kind", "lo", "hi")
     more = materialise(tiled.mapInArrow(meet, "a long, b long"), "neardup-links")
     labels = materialise(components(links.union(more)), "neardup-labels")
+    forget(members, sides, stars, full, held)
 
     # Back to rows: set -> component -> its first row.
     of_set = sets.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_key", F.coalesce("component", "set_id").alias("component"))
