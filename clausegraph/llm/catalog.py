@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegraph.llm import licenses, mixing
+from clausegraph.llm import chat, licenses, mixing, neardup, topk
+
+#: What both sides of the conversation beside the table's say.
+TRIAL = "</s>[INST] ok [/INST]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +33,10 @@ def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from clausegraph.llm import chat, common
+    from clausegraph.llm import common
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    trial = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    trial = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRIAL).alias("text"))
     return chat.digest(common.materialise(chat.format_conversations(turns.unionByName(trial)), "chat"))
 
 
@@ -47,8 +49,6 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from clausegraph.llm import neardup
-
     return neardup.digest(neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80))
 
 
@@ -66,8 +66,6 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from clausegraph.llm import topk
-
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
@@ -96,4 +94,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {"op3_licenses": licenses.oracle(), "op4_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {
+    "op2_chat": chat.oracle(TRIAL),
+    "op3_licenses": licenses.oracle(),
+    "op4_mixing": mixing.oracle(),
+    "op5_neardup": neardup.oracle(shingle=4, percent=80),
+    "op8_topk": topk.oracle(),
+}

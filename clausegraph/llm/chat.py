@@ -133,3 +133,19 @@ def digest(formatted: DataFrame) -> DataFrame:
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     names = [c.split()[0] for c in schema.split(", ")]
     return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(parsed, schema)
+
+
+def oracle(trial: str) -> str:
+    """DuckDB SQL of :func:`digest` over ``conversations`` and conversation -1, whose user and assistant say ``trial``."""
+    fixed = len(BEFORE_ROLE) + len(AFTER_ROLE) + len(AFTER_TEXT)
+    escaped = lambda c: f"length(regexp_replace({c}, '{_CONTROL}', '\\1\\\\\\2\\3', 'g'))"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, role AS r, text AS t, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{trial}'), (-1, 1, '{LOSS_ROLE}', '{trial}')))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = '{LOSS_ROLE}' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, r NULLS FIRST, t NULLS FIRST) FILTER (role = '{LOSS_ROLE}'), '')) AS loss_sha256,
+  CAST(sum({fixed} + {escaped('role')} + {escaped('text')}) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""

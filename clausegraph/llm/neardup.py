@@ -364,3 +364,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, row_id
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def oracle(shingle: int, percent: int) -> str:
+    """DuckDB SQL of :func:`digest` over ``documents``: every pair that shares a shingle, then labels along the links."""
+    upper, lower = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
+    return f"""
+WITH RECURSIVE split AS (
+  SELECT row_number() OVER () AS number, doc_id, coalesce(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+'), []) AS w
+  FROM documents),
+sets AS (
+  SELECT number, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {shingle} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {shingle - 2}), lambda i: array_to_string(w[i : i + {shingle - 1}], ' '))) END AS s
+  FROM split),
+shingles AS MATERIALIZED (SELECT number, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS MATERIALIZED (
+  SELECT x.number AS a, y.number AS b FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.number < y.number
+  GROUP BY x.number, y.number, x.n, y.n HAVING 100 * count(*) >= {percent} * (x.n + y.n - count(*))),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT number AS a, number AS b FROM sets UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+found AS (SELECT r.a AS number, min(s.doc_id) AS component_id FROM reach r JOIN sets s ON s.number = r.b GROUP BY r.a)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN found USING (number)"""

@@ -213,3 +213,17 @@ def top_k(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: float =
     partial = dealt.mapInArrow(search, "asks long, place int, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("asks", "place").orderBy(F.desc("score"), "vec_id"))
     return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def oracle(k: int = 20, query_step: int = 20, scale: float = 64.0) -> str:
+    """DuckDB SQL of :func:`top_k` over ``embeddings``."""
+    return f"""
+WITH whole AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor({scale}::DOUBLE * x)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+queries AS (SELECT row_number() OVER () AS number, vec_id AS query_id, v AS q FROM (SELECT DISTINCT vec_id, v FROM whole WHERE vec_id % {query_step} = 0)),
+scored AS (
+  SELECT number, query_id, vec_id, CAST(list_inner_product(q, v) AS BIGINT) AS score
+  FROM queries JOIN whole ON vec_id <> query_id AND len(q) = len(v)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, vec_id) AS place FROM scored)
+SELECT query_id, CAST(place AS INT) AS rank, vec_id, score FROM placed WHERE place <= {k}"""

@@ -535,7 +535,8 @@ def test_packing(spark, odd, empty):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+    for t in ("documents", "conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     result = con.execute(catalog.ORACLES[name])
     columns = [d[0] for d in result.description]
     key = lambda r: tuple((v is None, str(v)) for v in r)
