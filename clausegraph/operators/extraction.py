@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clausegraph.functions.text import MONTHS
+from clausegraph.functions.text import MONTHS, let
 
 # The vocabulary of obligations, quantities, conditions, references and dates in French procedures.
 MARKERS = {
@@ -46,15 +46,17 @@ NEGATION = r"(?<!\p{L})n(?:e |'|’)(?:(?:l'|le |la |les |y |en )?)"
 def modality(text: Column) -> Column:
     """DEFINITION first, else the longest marker's modality; null without one. A marker stands between word boundaries, with
     a participle's ending or none; right after a negation that is no part of it, it is inverted."""
-    low = F.lower(text)
-    found = F.lit(None).cast("string")
-    for marker, value in sorted(MARKERS.items(), key=lambda kv: (len(kv[0]), kv[0])):
-        word = marker + r"(?:e|s|es)?(?!\p{L})"
-        own = F.lit(value)
-        if not marker.startswith(("ne ", "n'")) and value in INVERTED:
-            own = F.when(low.rlike(NEGATION + word), INVERTED[value]).otherwise(value)
-        found = F.when(low.rlike(r"(?<!\p{L})" + word), own).otherwise(found)
-    return F.when(low.rlike(DEFINITIONS), "DEFINITION").otherwise(found)
+    def longest(low: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for marker, value in sorted(MARKERS.items(), key=lambda kv: (len(kv[0]), kv[0])):
+            word = marker + r"(?:e|s|es)?(?!\p{L})"
+            own = F.lit(value)
+            if not marker.startswith(("ne ", "n'")) and value in INVERTED:
+                own = F.when(low.rlike(NEGATION + word), INVERTED[value]).otherwise(value)
+            found = F.when(low.contains(marker) & low.rlike(r"(?<!\p{L})" + word), own).otherwise(found)
+        return F.when(low.rlike(DEFINITIONS), "DEFINITION").otherwise(found)
+
+    return let(F.lower(text), longest)
 
 
 def modality_surface(text: Column) -> Column:
@@ -68,10 +70,14 @@ def modality_surface(text: Column) -> Column:
 
 def number(found: Column) -> Column:
     """Digits with a decimal point or comma, or a word up to ten."""
-    word = F.lit(None).cast("double")
-    for name, value in NUMBERS.items():
-        word = F.when(found == name, float(value)).otherwise(word)
-    return F.coalesce(F.expr("try_cast(NULL as double)"), F.try_to_number(F.when(found.rlike(r"^\d+$"), found), F.lit("999999999")).cast("double"), F.when(found.rlike(r"^\d+[.,]\d+$"), F.regexp_replace(found, ",", ".")).cast("double"), word)
+
+    def read(x: Column) -> Column:
+        word = F.lit(None).cast("double")
+        for name, value in NUMBERS.items():
+            word = F.when(x == name, float(value)).otherwise(word)
+        return F.when(x.rlike(r"^\d+(?:[.,]\d+)?$"), F.regexp_replace(x, ",", ".").cast("double")).otherwise(word)
+
+    return let(found, read)
 
 
 def operator(text: Column) -> Column:
@@ -92,30 +98,39 @@ def without_dates(text: Column) -> Column:
 def quantity(text: Column) -> Column:
     """The first that applies, as struct(role, si, calendar_si, status): vague delay, retention, training, accreditation,
     headcount, periodicity, delay, decibels, metres. Null without one."""
-    low = F.lower(without_dates(text))
+    return let(F.lower(without_dates(text)), _first_quantity)
+
+
+def _first_quantity(low: Column) -> Column:
     got = lambda pattern, g: F.nullif(F.regexp_extract(low, pattern, g), F.lit(""))
     span = NUMBER + r" +(minutes?|heures?|jours?|semaines?|mois|ans?|années?)"
-    value, unit = number(got(span, 1)), got(span, 2)
-    seconds = duration_seconds(value, unit)
-    working = low.rlike(span + " ouvr")
-    calendar = F.when(working, F.bround(F.bround(value * 7 / 5) * 86400).cast("long"))
     every = r"(?:tous|toutes) les " + NUMBER + r" +(semaines?|mois|ans?|années?|trimestres?|semestres?|jours?)"
     single = r"(?:chaque|tous les|toutes les) +(semaine|mois|trimestre|semestre|an|année)"
     times = NUMBER + r" fois par (semaine|mois|trimestre|semestre|an|année)"
     noun = lambda u: first_key(u, PERIOD_NOUNS).cast("long")
-    period = F.coalesce(
-        F.bround(noun(got(times, 2)) / number(got(times, 1))).cast("long"), F.when(got(every, 1).isNotNull(), F.bround(number(got(every, 1)) * F.when(got(every, 2).startswith("jour"), 86400).otherwise(noun(got(every, 2)))).cast("long")),
-        noun(got(single, 1)), first_key(low, PERIODS).cast("long"))
     make = lambda role, si, status="NORMAL", cal=None: F.struct(F.lit(role).alias("role"), si.cast("long").alias("si"), (F.lit(None) if cal is None else cal).cast("long").alias("calendar_si"), F.lit(status).alias("status"))
-    vague = first_key(low, VAGUE)
-    delay = low.rlike("sous |dans un délai de |délai|retard")
-    return (
-        F.when(vague.isNotNull() & seconds.isNull(), make("delai", vague, "IMPRECIS")).when(low.rlike("archiv|conserv") & seconds.isNotNull(), make("duree_conservation", seconds))
-        .when(low.rlike("formation") & seconds.isNotNull(), make("duree_formation", seconds)).when(low.rlike("habilitation|recycl") & F.coalesce(period, seconds).isNotNull(), make("validite_habilitation", F.coalesce(period, seconds)))
-        .when(low.rlike("sauveteur|secouriste|effectif") & got(NUMBER + r"\b", 1).isNotNull() & low.rlike("minim|fixé"), make("effectif_minimum", number(got(r"(?:minimum|fixé à) " + NUMBER, 1))))
-        .when(low.rlike("bimensuel|bimestriel"), make("periodicite", F.lit(None), "AMBIGU")).when(period.isNotNull(), make("periodicite", period)).when(delay & seconds.isNotNull(), make("delai", seconds, "NORMAL", calendar))
-        .when(low.rlike(r"\d db"), make("seuil_exposition", got(r"(\d+) ?db", 1))).when(low.rlike(r"\d mètres?"), make("seuil_declenchement", got(r"(\d+) mètres?", 1)))
-    )
+    # Each step stands on values of the one before, bound once.
+    words = F.struct(
+        number(got(span, 1)).alias("value"), got(span, 2).alias("unit"), number(got(times, 1)).alias("times"), got(times, 2).alias("times_in"), number(got(every, 1)).alias("every"), got(every, 2).alias("every_unit"),
+        got(single, 1).alias("single"), first_key(low, VAGUE).alias("vague"))
+
+    def spans(w: Column) -> Column:
+        days = F.when(low.rlike(span + " ouvr"), F.bround(F.bround(w["value"] * 7 / 5) * 86400).cast("long"))
+        step = F.when(w["every_unit"].startswith("jour"), 86400).otherwise(noun(w["every_unit"]))
+        period = F.coalesce(F.bround(noun(w["times_in"]) / w["times"]).cast("long"), F.bround(w["every"] * step).cast("long"), noun(w["single"]), first_key(low, PERIODS).cast("long"))
+        return F.struct(w["vague"].alias("vague"), duration_seconds(w["value"], w["unit"]).alias("seconds"), days.alias("calendar"), period.alias("period"))
+
+    def chosen(s: Column) -> Column:
+        vague, seconds, period = s["vague"], s["seconds"], s["period"]
+        return (
+            F.when(vague.isNotNull() & seconds.isNull(), make("delai", vague, "IMPRECIS")).when(low.rlike("archiv|conserv") & seconds.isNotNull(), make("duree_conservation", seconds))
+            .when(low.rlike("formation") & seconds.isNotNull(), make("duree_formation", seconds)).when(low.rlike("habilitation|recycl") & F.coalesce(period, seconds).isNotNull(), make("validite_habilitation", F.coalesce(period, seconds)))
+            .when(low.rlike("sauveteur|secouriste|effectif") & got(NUMBER + r"\b", 1).isNotNull() & low.rlike("minim|fixé"), make("effectif_minimum", number(got(r"(?:minimum|fixé à) " + NUMBER, 1))))
+            .when(low.rlike("bimensuel|bimestriel"), make("periodicite", F.lit(None), "AMBIGU")).when(period.isNotNull(), make("periodicite", period)).when(low.rlike("sous |dans un délai de |délai|retard") & seconds.isNotNull(), make("delai", seconds, "NORMAL", s["calendar"]))
+            .when(low.rlike(r"\d db"), make("seuil_exposition", got(r"(\d+) ?db", 1))).when(low.rlike(r"\d mètres?"), make("seuil_declenchement", got(r"(\d+) mètres?", 1)))
+        )
+
+    return let(words, lambda w: let(spans(w), chosen))
 
 
 def quantity_surface(text: Column) -> Column:
@@ -141,11 +156,14 @@ def references(text: Column) -> Column:
 def long_date(text: Column, marker: str) -> Column:
     """The date in words after a marker; an impossible one is null."""
     pattern = marker + r" (\d{1,2})(?:er)? (" + "|".join(MONTHS) + r") (\d{4})"
-    month = F.lit(None).cast("int")
-    for i, name in enumerate(MONTHS, 1):
-        month = F.when(F.regexp_extract(text, pattern, 2) == name, i).otherwise(month)
-    iso = F.concat_ws("-", F.regexp_extract(text, pattern, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(text, pattern, 1), 2, "0"))
-    return F.when(month.isNotNull(), F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"))
+    parts = F.struct(*[F.regexp_extract(text, pattern, g).alias(c) for g, c in ((1, "day"), (2, "month"), (3, "year"))])
+
+    def date(p: Column) -> Column:
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), p["month"])
+        iso = F.concat_ws("-", p["year"], F.lpad(month.cast("string"), 2, "0"), F.lpad(p["day"], 2, "0"))
+        return F.when(p["month"] != "", F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"))
+
+    return let(parts, date)
 
 
 def validity(text: Column) -> Column:
@@ -164,5 +182,6 @@ def derogation(text: Column) -> Column:
 
 def statement(text: Column) -> Column:
     """DEROGATION, DEFINITION, PRESCRIPTION, REFERENCE or CONSTAT, in this order."""
-    m = modality(text)
-    return F.when(derogation(text).isNotNull(), "DEROGATION").when(m == "DEFINITION", "DEFINITION").when(m.isin("OBLIGATION", "INTERDICTION", "PERMISSION", "RECOMMANDATION"), "PRESCRIPTION").when((F.size(references(text)) > 0) & m.isNull(), "REFERENCE").otherwise("CONSTAT")
+    derogates = derogation(text).isNotNull()
+    rest = lambda m: F.when(m == "DEFINITION", "DEFINITION").when(m.isin("OBLIGATION", "INTERDICTION", "PERMISSION", "RECOMMANDATION"), "PRESCRIPTION").when((F.size(references(text)) > 0) & m.isNull(), "REFERENCE").otherwise("CONSTAT")
+    return F.when(derogates, "DEROGATION").otherwise(let(modality(text), rest))

@@ -521,82 +521,116 @@ def comparison_keys(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", vocabulary.comparison_key(F.col("p_brand"), F.col("p_type"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")), F.lit("x"), F.col("p_size")).alias("key"))
 
 
-# --- the corpus of our own: clauses, frames --------------------------------------------------------------------------
+# --- every line of the documents and of a corpus of our own: clauses, frames -------------------------------------------
 
 def corpus_clauses(spark: SparkSession) -> DataFrame:
     docs = spark.createDataFrame(list(TEXTS), "id string, text string")
     return segmentation.clauses(segmentation.structured(segmentation.lines(docs)))
 
 
-SENTENCES = [line for _, body in TEXTS for line in body.split("\n") if line[:1].isdigit() and line.endswith(".")]
-VALUES = "(VALUES " + ", ".join("('" + s.replace("'", "''") + "')" for s in SENTENCES) + ") AS c(text)"
+OWN = ", ".join("('{}', '{}')".format(name, body.replace("'", "''")) for name, body in TEXTS)
+CORPUS = f"""lines AS (SELECT id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS pos, unnest(l) AS text, lower(unnest(l)) AS low
+FROM (SELECT id, string_split(text, chr(10)) AS l FROM (SELECT 'T' || doc_id AS id, text FROM documents UNION ALL VALUES {OWN})))"""
 
 
-def _sentences(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(s,) for s in SENTENCES], "text string")
+def _corpus(t: Tables) -> DataFrame:
+    """(id, text): the documents, and the texts of our own, which hold what the documents do not."""
+    return t.documents.select(F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("id"), "text").union(t.spark.createDataFrame(list(TEXTS), "id string, text string"))
 
 
-def _case(table: dict, column: str) -> str:
-    arms = " ".join("WHEN contains({}, '{}') THEN {}".format(column, k.replace("'", "''"), f"'{v}'" if isinstance(v, str) else v) for k, v in sorted(table.items(), key=lambda kv: (len(kv[0]), kv[0]), reverse=True))
-    return f"CASE {arms} END"
+def _corpus_lines(t: Tables) -> DataFrame:
+    return _corpus(t).select("id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+
+
+def _quoted(value: str) -> str:
+    return value.replace("'", "''")
+
+
+def _longest(table: dict) -> list:
+    return sorted(table.items(), key=lambda kv: (len(kv[0]), kv[0]), reverse=True)
+
+
+def _case(table: dict) -> str:
+    return "CASE " + " ".join(f"WHEN contains(low, '{_quoted(k)}') THEN {repr(v)}" for k, v in _longest(table)) + " END"
+
+
+def _modality_sql() -> str:
+    """A marker between characters that are no letters; the longest counts, inverted right after a negation of the verb."""
+    arms = [f"WHEN regexp_matches(low, '{_quoted(extraction.DEFINITIONS)}') THEN 'DEFINITION'"]
+    for marker, value in _longest(extraction.MARKERS):
+        word = _quoted(marker) + r"(e|s|es)?([^\p{L}]|$)"
+        if value in extraction.INVERTED and not marker.startswith(("ne ", "n'")):
+            arms.append(f"WHEN regexp_matches(low, '(^|[^\\p{{L}}])n(e |''|’)(l''|le |la |les |y |en )?{word}') THEN '{extraction.INVERTED[value]}'")
+        arms.append(f"WHEN regexp_matches(low, '(^|[^\\p{{L}}]){word}') THEN '{value}'")
+    return "CASE " + " ".join(arms) + " END"
 
 
 @query()
 def clauses_corpus(t: Tables) -> DataFrame:
-    return corpus_clauses(t.spark)
+    return segmentation.clauses(segmentation.structured(segmentation.lines(_corpus(t))))
 
 
-@query(f"SELECT text, CASE WHEN regexp_matches(lower(text), '{extraction.DEFINITIONS.replace(chr(39), chr(39) * 2)}') THEN 'DEFINITION' ELSE {_case(extraction.MARKERS, 'lower(text)')} END AS modality FROM {VALUES}")
+@query(f"WITH {CORPUS} SELECT id, pos, {_modality_sql()} AS modality FROM lines")
 def modality_extract(t: Tables) -> DataFrame:
-    return _sentences(t).select("text", extraction.modality(F.col("text")).alias("modality"))
+    return _corpus_lines(t).select("id", "pos", extraction.modality(F.col("text")).alias("modality"))
 
 
-@query(f"SELECT text, coalesce({_case(extraction.OPERATORS, 'lower(text)')}, '=') AS operator, CAST({_case(extraction.VAGUE, 'lower(text)')} AS BIGINT) AS vague FROM {VALUES}")
+@query(f"WITH {CORPUS} SELECT id, pos, coalesce({_case(extraction.OPERATORS)}, '=') AS operator, CAST({_case(extraction.VAGUE)} AS BIGINT) AS vague FROM lines")
 def thresholds_extract(t: Tables) -> DataFrame:
     low = F.lower("text")
-    return _sentences(t).select("text", extraction.operator(F.col("text")).alias("operator"), extraction.first_key(low, extraction.VAGUE).cast("long").alias("vague"))
+    return _corpus_lines(t).select("id", "pos", extraction.operator(F.col("text")).alias("operator"), extraction.first_key(low, extraction.VAGUE).cast("long").alias("vague"))
 
 
-CONDITION_ARMS = " UNION ALL ".join("SELECT text, '{}' AS kind, trim(regexp_extract(lower(text), '({}[^,.;]*)', 1)) AS surface FROM {}".format(kind, m.replace("'", "''"), VALUES) for m, kind in extraction.CONDITIONS.items())
+CONDITION_ARMS = " UNION ALL ".join(f"SELECT id, pos, '{kind}' AS kind, trim(regexp_extract(low, '({_quoted(m)}[^,.;]*)', 1)) AS surface FROM lines" for m, kind in extraction.CONDITIONS.items())
 
 
-@query(f"SELECT text, kind, surface FROM ({CONDITION_ARMS}) WHERE surface <> ''")
+@query(f"WITH {CORPUS} SELECT id, pos, kind, surface FROM ({CONDITION_ARMS}) WHERE surface <> ''")
 def conditions_extract(t: Tables) -> DataFrame:
-    return _sentences(t).select("text", F.explode(extraction.conditions(F.col("text"))).alias("c")).select("text", "c.kind", "c.surface")
+    return _corpus_lines(t).select("id", "pos", F.explode(extraction.conditions(F.col("text"))).alias("c")).select("id", "pos", "c.kind", "c.surface")
+
+
+REFERENCES = """(SELECT id, pos, 'NORM' AS kind, unnest(regexp_extract_all(text, '((?:ISO|OHSAS) [0-9]+(?::[0-9]{4})?)', 1)) AS code FROM lines UNION ALL SELECT id, pos, 'DOCUMENT', unnest(regexp_extract_all(text, '([A-Z]{2,4}-[A-Z]{2,4}-[0-9]{2,3})', 1)) FROM lines
+UNION ALL SELECT id, pos, 'SECTION', unnest(regexp_extract_all(text, '§ ?([0-9]+(?:\\.[0-9]+)?)', 1)) FROM lines UNION ALL SELECT id, pos, 'ARTICLE', unnest(regexp_extract_all(text, 'article ([A-Z]?\\.?[0-9-]+)', 1)) FROM lines)"""
 
 
-@query(f"""SELECT text, 'NORM' AS kind, unnest(regexp_extract_all(text, '((?:ISO|OHSAS) [0-9]+(?::[0-9]{{4}})?)', 1)) AS code FROM {VALUES} UNION ALL SELECT text, 'DOCUMENT', unnest(regexp_extract_all(text, '([A-Z]{{2,4}}-[A-Z]{{2,4}}-[0-9]{{2,3}})', 1)) FROM {VALUES}
-UNION ALL SELECT text, 'SECTION', unnest(regexp_extract_all(text, '§ ?([0-9]+(?:\\.[0-9]+)?)', 1)) FROM {VALUES} UNION ALL SELECT text, 'ARTICLE', unnest(regexp_extract_all(text, 'article ([A-Z]?\\.?[0-9-]+)', 1)) FROM {VALUES}""")
+@query(f"WITH {CORPUS} SELECT id, pos, kind, code FROM {REFERENCES}")
 def references_extract(t: Tables) -> DataFrame:
-    return _sentences(t).select("text", F.explode(extraction.references(F.col("text"))).alias("r")).select("text", "r.kind", "r.code")
+    return _corpus_lines(t).select("id", "pos", F.explode(extraction.references(F.col("text"))).alias("r")).select("id", "pos", "r.kind", "r.code")
 
 
-def _date_sql(markers: tuple[str, ...]) -> str:
+def _date_sql(*markers: str) -> str:
     months = "|".join(extraction.MONTHS)
     number = "CASE m " + " ".join(f"WHEN '{m}' THEN '{i:02d}'" for i, m in enumerate(extraction.MONTHS, 1)) + " END"
-    one = lambda mark: "try_cast((SELECT y || '-' || {} || '-' || lpad(d, 2, '0') FROM (SELECT regexp_extract(lower(text), '{p}', 1) AS d, regexp_extract(lower(text), '{p}', 2) AS m, regexp_extract(lower(text), '{p}', 3) AS y)) AS DATE)".format(number, p=mark.replace("'", "''") + f" ([0-9]{{1,2}})(?:er)? ({months}) ([0-9]{{4}})")
+    one = lambda mark: "try_cast((SELECT y || '-' || {} || '-' || lpad(d, 2, '0') FROM (SELECT regexp_extract(low, '{p}', 1) AS d, regexp_extract(low, '{p}', 2) AS m, regexp_extract(low, '{p}', 3) AS y)) AS DATE)".format(number, p=_quoted(mark) + f" ([0-9]{{1,2}})(?:er)? ({months}) ([0-9]{{4}})")
     return "coalesce(" + ", ".join(map(one, markers)) + ")"
 
 
-@query(f"SELECT text, {_date_sql(extraction.START_MARKERS)} AS starts, {_date_sql(extraction.END_MARKERS)} AS ends FROM {VALUES}")
+@query(f"WITH {CORPUS} SELECT id, pos, {_date_sql(*extraction.START_MARKERS)} AS starts, {_date_sql(*extraction.END_MARKERS)} AS ends FROM lines")
 def validity_extract(t: Tables) -> DataFrame:
     v = extraction.validity(F.col("text"))
-    return _sentences(t).select("text", v["start"].alias("starts"), v["end"].alias("ends"))
+    return _corpus_lines(t).select("id", "pos", v["start"].alias("starts"), v["end"].alias("ends"))
 
 
 @query()
 def quantities_extract(t: Tables) -> DataFrame:
     q = extraction.quantity(F.col("text"))
-    return _sentences(t).select("text", q["role"].alias("role"), q["si"].alias("si"), q["calendar_si"].alias("calendar_si"), q["status"].alias("status"))
+    return _corpus_lines(t).select("id", "pos", q["role"].alias("role"), q["si"].alias("si"), q["calendar_si"].alias("calendar_si"), q["status"].alias("status"))
 
 
-@query()
+def _after_sql(mark: str) -> str:
+    return f"nullif(trim(regexp_extract(low, '{mark} ([^,.]+?)(?: le [0-9]| *[,.])', 1)), '')"
+
+
+@query(f"""WITH {CORPUS}, refs AS (SELECT DISTINCT id, pos FROM {REFERENCES}),
+marked AS (SELECT id, pos, text, low, regexp_matches(low, 'par dérogation (à|au)|nonobstant|en dérogation de') AS derogates, {_modality_sql()} AS m, (id, pos) IN (SELECT (id, pos) FROM refs) AS refers FROM lines)
+SELECT id, pos, CASE WHEN derogates THEN 'DEROGATION' WHEN m = 'DEFINITION' THEN m WHEN m IN ('OBLIGATION', 'INTERDICTION', 'PERMISSION', 'RECOMMANDATION') THEN 'PRESCRIPTION' WHEN m IS NULL AND refers THEN 'REFERENCE' ELSE 'CONSTAT' END AS statement,
+CASE WHEN derogates THEN nullif(regexp_extract(text, '§ ?([0-9]+(?:\\.[0-9]+)?)', 1), '') END AS target, CASE WHEN derogates THEN {_after_sql('(?:motivée?|justifiée) par')} END AS justification,
+CASE WHEN derogates THEN {_after_sql('approuvée? par')} END AS approver, CASE WHEN derogates THEN {_date_sql('approuvée? par [^,.]+? le')} END AS approved, CASE WHEN derogates THEN {_date_sql("valable jusqu'au")} END AS due FROM marked""")
 def frames_extract(t: Tables) -> DataFrame:
     d = extraction.derogation(F.col("text"))
-    return _sentences(t).select("text", extraction.statement(F.col("text")).alias("statement"), d["target"].alias("target"), d["justification"].alias("justification"), d["approver"].alias("approver"), d["approved"].alias("approved"), d["due"].alias("due"))
+    return _corpus_lines(t).select("id", "pos", extraction.statement(F.col("text")).alias("statement"), d["target"].alias("target"), d["justification"].alias("justification"), d["approver"].alias("approver"), d["approved"].alias("approved"), d["due"].alias("due"))
 
 
 @query()
 def front_matter(t: Tables) -> DataFrame:
-    docs = t.spark.createDataFrame(list(TEXTS), "id string, text string")
-    return segmentation.front_matter(segmentation.structured(segmentation.lines(docs)))
+    return segmentation.front_matter(segmentation.structured(segmentation.lines(_corpus(t))))
