@@ -59,33 +59,35 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, part, chars = (), 0, 0
+        last, part, chars = None, 0, 0
         for batch in batches:
             for rows in slices(batch, "text"):
                 role, text = rows.column(1).fill_null(""), rows.column(2).fill_null("")
                 n = len(text)
-                body = escape(text)
                 fixed = [pa.repeat(s, n) for s in (BEFORE_ROLE, AFTER_ROLE, AFTER_TEXT)]
                 escaped_role = escape(role)
-                whole = assemble([fixed[0], escaped_role, fixed[1], body, fixed[2]])
+                whole = assemble([fixed[0], escaped_role, fixed[1], escape(text), fixed[2]])
                 size = pc.utf8_length(whole).to_numpy().astype(np.int64)
                 start = len(BEFORE_ROLE) + pc.utf8_length(escaped_role).to_numpy().astype(np.int64) + len(AFTER_ROLE)
-                stop = size - len(AFTER_TEXT)
                 loss = pc.equal(role, LOSS_ROLE).to_numpy(zero_copy_only=False)
-                keys = rows.column(0).to_pylist()
-                cuts = [0, *[i for i in range(1, n) if keys[i] != keys[i - 1]], n]
-                data, offsets = text_buffer(whole)
-                out = []
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    if (keys[a],) != last:
-                        last, part, chars = (keys[a],), 0, 0
-                    at = chars + np.cumsum(size[a:b]) - size[a:b]
-                    own = loss[a:b]
-                    total = int(size[a:b].sum())
-                    out.append((keys[a], part, b - a, data[offsets[a] : offsets[b]].tobytes().decode(), (at + start[a:b])[own], (at + stop[a:b])[own], chars, total))
-                    part, chars = part + 1, chars + total
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [c.split()[0] for c in FORMATTED.split(", ")])
+                # Turns of a conversation lie side by side in the buffer: a conversation is a run of it.
+                ids = rows.column(0)
+                key, none = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+                first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (none[1:] != none[:-1])])
+                cuts = np.r_[first, n]
+                owner = np.repeat(np.arange(len(first)), np.diff(cuts))
+                ends = np.r_[0, np.cumsum(size)]
+                total = np.diff(ends[cuts])
+                parts, before = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+                if last == (none[0], key[0]):
+                    parts[0], before[0] = part, chars
+                at = ends[:-1] + (before - ends[first])[owner]
+                spans = np.r_[0, np.cumsum(np.bincount(owner[loss], minlength=len(first)))].astype(np.int32)
+                loss_start, loss_end = (at + start)[loss], (at + size - len(AFTER_TEXT))[loss]
+                last, part, chars = (none[-1], key[-1]), int(parts[-1]) + 1, int(before[-1] + total[-1])
+                formatted = pa.StringArray.from_buffers(len(first), pa.py_buffer(text_buffer(whole)[1][cuts].astype(np.int32)), whole.buffers()[2])
+                lists = [pa.ListArray.from_arrays(spans, pa.array(v, pa.int64())) for v in (loss_start, loss_end)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array(parts), pa.array(np.diff(cuts)), formatted, *lists, pa.array(before), pa.array(total)], [c.split()[0] for c in FORMATTED.split(", ")])
 
     rows = turns.select(F.col("conv_id").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"), F.col("turn").cast("long"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")

@@ -88,9 +88,12 @@ def test_chat(spark):
     said = "</s>[INST] ok [/INST]"
     odd_texts = [said, "[\\INST] <\\\\s> <s>[[INST]<|x|>", None, "", "é\n" * 3000, "plain"]
     rows = [(c, t, ("user", "assistant", None)[(c + t) % 3], odd_texts[(c * 7 + t) % 6], 1) for c in range(40) for t in range(c % 5 + 1)] + [(None, 0, "assistant", "no id", 1), (1, None, "assistant", "last", 1), (1, None, "assistant", "last", 1)]
+    rows += [(99, t, ("user", "assistant")[t % 2], f"{t}é[INST]" * 3000, 1) for t in range(100)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int")
     formatted = common.materialise(chat.format_conversations(turns), "t")
-    assert not [r for r in formatted.collect() if r["formatted"].count("<s>") != r["n_turns"]]
+    found = formatted.collect()
+    assert not [r for r in found if r["formatted"].count("<s>") != r["n_turns"]]
+    assert max(r["part"] for r in found if r["conv_id"] == 99) > 0  # longer than a slice
     got = {r["conv_id"]: r for r in chat.digest(formatted).collect()}
     own = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0)):
