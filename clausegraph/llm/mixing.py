@@ -135,6 +135,21 @@ def hypergeometric(population: Column, marked: Column, drawn: Column, uniform: C
     return found.cast("long")
 
 
+#: Primes above any step of interest; a source's blocks are multiplied by one that does not divide their number.
+MULTIPLIERS = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121)
+
+
+def permutation(seed: str, key: Column, blocks: Column) -> tuple[Column, Column]:
+    """Multiplier and shift by which ``pmod(block * multiplier + shift, blocks)`` permutes a source's blocks. Both hang on
+    seed and source; a multiplier that would leave neighbours side by side is taken only where there is no other (as of
+    fewer than five blocks)."""
+    first = F.xxhash64(F.lit(seed), F.lit("multiplier"), key)
+    turned = F.transform(F.sequence(F.lit(0), F.lit(len(MULTIPLIERS) - 1)), lambda i: F.element_at(F.array(*map(F.lit, MULTIPLIERS)), (F.pmod(first + i, F.lit(len(MULTIPLIERS))) + 1).cast("int")))
+    whole = F.filter(turned, lambda p: blocks % p != 0)
+    mixed = F.filter(whole, lambda p: ~(p % blocks).isin(1, blocks - 1))
+    return F.coalesce(F.get(mixed, F.lit(0)), F.get(whole, F.lit(0))).cast("long"), F.pmod(F.xxhash64(F.lit(seed), F.lit("shift"), key), blocks)
+
+
 def splitting_tree(sources: DataFrame, levels: int, seed: str) -> DataFrame:
     """``sources(key, blocks)`` to leaves: shard, key, quota, offset (blocks of the source that earlier shards hold)."""
     entries = F.sort_array(F.collect_list(F.struct("key", "blocks")))
@@ -180,18 +195,18 @@ def mix(docs: DataFrame, seed: str = "mix", block_words: int = BLOCK_WORDS, shar
     if n_sources > MAX_SOURCES:
         raise ValueError(f"{n_sources} sources; the tree holds {MAX_SOURCES}")
     quota = shares.select("key", "source_size", "target", F.floor(F.col("target") + 0.5).alias("words")).withColumn("blocks", F.ceil(F.col("words") / block_words))
+    multiplier, shift = permutation(seed, F.col("key"), F.greatest(F.lit(1), F.col("blocks")))
+    quota = quota.withColumn("multiplier", multiplier).withColumn("shift", shift)
     total = quota.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("n")).first()["n"]
     levels = max(0, -(-total // shard_blocks) - 1).bit_length()
     # At most MAX_SOURCES rows, as checked.
     placed = starts(base).join(F.broadcast(quota), "key")
     take = lambda epoch: F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - F.col("source_size") * epoch - F.col("start"))).cast("long")
     placed = materialise(placed.withColumn("taken", take(0) + take(1)), "mix-placed")
-    epochs = placed.select("row_id", "doc_id", "key", "size", "place", "source_size", "start", "blocks", F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), take(e).alias("words")) for e in (0, 1)])).alias("e"))
-    rows = epochs.where("e.words > 0").select("row_id", "doc_id", "key", "size", "place", "blocks", "e.epoch", "e.words", F.floor((F.col("source_size") * F.col("e.epoch") + F.col("start")) / block_words).alias("block"))
-    # Permuted by a multiplier that shares no factor with the number of blocks.
-    factor = F.when(F.col("blocks") % 1000003 != 0, F.lit(1000003)).otherwise(F.lit(1000033))
+    epochs = placed.select("row_id", "doc_id", "key", "size", "place", "source_size", "start", "blocks", "multiplier", "shift", F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), take(e).alias("words")) for e in (0, 1)])).alias("e"))
+    rows = epochs.where("e.words > 0").select("row_id", "doc_id", "key", "size", "place", "blocks", "multiplier", "shift", "e.epoch", "e.words", F.floor((F.col("source_size") * F.col("e.epoch") + F.col("start")) / block_words).alias("block"))
     cells = F.greatest(F.lit(1), F.ceil(F.col("blocks") / (1 << levels)))
-    rows = rows.withColumn("drawn", F.pmod(F.col("block") * factor, F.col("blocks"))).withColumn("cell", F.floor(F.col("drawn") / cells))
+    rows = rows.withColumn("drawn", F.pmod(F.col("block") * F.col("multiplier") + F.col("shift"), F.col("blocks"))).withColumn("cell", F.floor(F.col("drawn") / cells))
     leaves = splitting_tree(quota.where("blocks > 0").select("key", "blocks"), levels, seed)
     leaves = leaves.join(F.broadcast(quota.select("key", "blocks")), "key").select("key", "shard", "quota", "offset", F.explode(F.sequence(F.floor(F.col("offset") / cells), F.floor((F.col("offset") + F.col("quota") - 1) / cells))).alias("cell"))
     dealt = rows.join(leaves, ["key", "cell"]).where((F.col("drawn") >= F.col("offset")) & (F.col("drawn") < F.col("offset") + F.col("quota")))

@@ -157,6 +157,18 @@ def test_mixing(spark, odd, empty):
     assert mixing.digest(mixing.mix(empty)).count() == 0
 
 
+def test_blocks_are_permuted_by_seed(spark):
+    for blocks in (1, 2, 5, 7, 100, 4099, 1000002, 1000004, 1000003 * 1000033):
+        orders = set()
+        for seed in ("a", "b", "c", "d"):
+            f, s = spark.range(1).select(*mixing.permutation(seed, F.lit("=x"), F.lit(blocks).cast("long"))).first()
+            seen = [(i * f + s) % blocks for i in range(min(blocks, 5000))]
+            assert len(set(seen)) == len(seen) and 0 <= s < blocks
+            assert blocks < 7 or f % blocks not in (1, blocks - 1)
+            orders.add(tuple(seen[:50]))
+        assert blocks < 7 or len(orders) > 2
+
+
 def test_hypergeometric(spark):
     n, k, drawn = 60, 25, 18
     uniform = F.shiftrightunsigned(F.xxhash64("id"), 11) * F.lit(2.0**-53)
