@@ -15,10 +15,12 @@ the writer's line end is the file's last byte. They are read by Spark's binaryFi
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -109,16 +111,21 @@ class Shard:
             raise ValueError("not a whole shard file")
         self.dtype = np.dtype(f"<u{self.id_bytes}")
         self.index = [INDEX.unpack_from(content, self.index_at + i * INDEX.size) for i in range(self.blocks)]
+        self.bloom = np.frombuffer(content, np.uint8, self.bloom_bytes, self.bloom_at)
+
+    def stored(self, i: int) -> tuple[bytes, int]:
+        """Bytes that hold block ``i``, and where it starts in them."""
+        return self.content, self.index[i][1]
 
     def block(self, i: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        _, at, _, n = self.index[i]
-        last = b""
+        content, at = self.stored(i)
+        n, last = self.index[i][3], b""
         for _ in range(n):
-            shared, other, size = ENTRY.unpack_from(self.content, at)
+            shared, other, size = ENTRY.unpack_from(content, at)
             at += ENTRY.size
-            last = last[:shared] + self.content[at : at + other]
+            last = last[:shared] + content[at : at + other]
             at += other
-            yield last, np.frombuffer(self.content, self.dtype, size // self.id_bytes, at)
+            yield last, np.frombuffer(content, self.dtype, size // self.id_bytes, at)
             at += size
 
     def __iter__(self) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -127,8 +134,7 @@ class Shard:
 
     def may_hold(self, key: bytes) -> bool:
         at = _probes([key], self.bloom_bytes * 8)[0].astype(np.int64)
-        bits = np.frombuffer(self.content, np.uint8, self.bloom_bytes, self.bloom_at)
-        return bool(((bits[at >> 3] >> (7 - (at & 7))) & 1).all())
+        return bool(((self.bloom[at >> 3] >> (7 - (at & 7))) & 1).all())
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every entry with that key; documents may repeat."""
@@ -144,6 +150,36 @@ class Shard:
         return found
 
 
+class SeekingShard(Shard):
+    """A shard that fetches footer, index and filter, and single blocks by ``read(offset, bytes)``."""
+
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        tail = read(size - FOOTER.size - 1, FOOTER.size + 1)
+        tail = tail[:-1] if tail[-9:-1] == MAGIC else tail[1:]
+        (self.index_at, self.blocks, self.bloom_at, self.bloom_bytes, self.entries, self.n_ids, self.id_bytes, self.first, self.crc, magic) = FOOTER.unpack(tail)
+        if magic != MAGIC:
+            raise ValueError("not a whole shard file")
+        self.read, self.dtype = read, np.dtype(f"<u{self.id_bytes}")
+
+    @cached_property
+    def both(self) -> bytes:
+        found = self.read(self.index_at, self.bloom_at + self.bloom_bytes - self.index_at)
+        if zlib.crc32(found) != self.crc:
+            raise ValueError("not a whole shard file")
+        return found
+
+    @cached_property
+    def index(self) -> list[tuple]:
+        return [INDEX.unpack_from(self.both, i * INDEX.size) for i in range(self.blocks)]
+
+    @cached_property
+    def bloom(self) -> np.ndarray:
+        return np.frombuffer(self.both, np.uint8, self.bloom_bytes, self.bloom_at - self.index_at)
+
+    def stored(self, i: int) -> tuple[bytes, int]:
+        return self.read(*self.index[i][1:3]), 0
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode ``docs(doc_id, text)`` and write shard files under ``path``, in ascending doc_id order over file names.
 
@@ -218,6 +254,49 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where("length > 0").select("content").mapInArrow(found, "doc_id long, ids array<long>")
 
 
+def seek(spark: SparkSession, path: str, doc_ids: list[int | None]) -> list[tuple[int | None, np.ndarray]]:
+    """Point lookups of a few ids from the driver, without a job: (doc_id, ids) by entry, in the order asked.
+
+    Files follow each other by id, so each id bisects them by the first key in their footers, then asks that file's Bloom
+    filter, bisects its index and fetches the blocks that may hold it, through Hadoop's file system. Nothing else is read;
+    an id that is not there gives no entry. :func:`lookup` serves long lists.
+    """
+    java = spark._jvm
+    folder = java.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [(tuple(map(int, m.groups())), f) for f in system.listStatus(folder) if f.getLen() and (m := re.search(r"part-(\d+)-.*-c(\d+)", f.getPath().getName()))]
+    files = [f for _, f in sorted(files, key=lambda x: x[0])]
+
+    def reader(f) -> Callable[[int, int], bytes]:
+        def read(at: int, size: int) -> bytes:
+            stream = system.open(f.getPath())
+            try:
+                stream.seek(at)
+                return bytes(java.org.apache.commons.io.IOUtils.toByteArray(stream, size))
+            finally:
+                stream.close()
+
+        return read
+
+    opened: dict[int, SeekingShard] = {}
+
+    def shard(i: int) -> SeekingShard:
+        if i not in opened:
+            opened[i] = SeekingShard(reader(files[i]), files[i].getLen())
+        return opened[i]
+
+    out = []
+    for doc_id in doc_ids:
+        key = pack_key(doc_id)
+        i = bisect_right(range(len(files)), key, key=lambda j: shard(j).first) - 1
+        runs = []
+        while i >= 0:  # an id's entries may begin in an earlier file only where this one starts with it
+            runs.append(shard(i).get(doc_id))
+            i = i - 1 if shard(i).first == key else -1
+        out += [(doc_id, ids) for run in reversed(runs) for ids in run]
+    return out
+
+
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, shard.
 

@@ -79,8 +79,13 @@ def test_sstable(spark, odd, empty):
     hits = sstable.lookup(spark, path, [3, 9, 77]).collect()
     assert sorted(h["doc_id"] for h in hits) == [3, 3, 3, 9]
     assert next(h["ids"] for h in hits if h["doc_id"] == 9) == ids_of(BYTE, ["one"])[0]
+    everything = [None, *range(-3, 200)]
+    sought = sstable.seek(spark, path, everything)
+    whole = sstable.read_shards(spark, path).orderBy("shard", "row").collect()
+    assert Counter((i, ids.tobytes()) for i, ids in sought) == Counter((r["doc_id"], bytes(r["ids"])) for r in whole if r["doc_id"] in set(everything))
     path = common.scratch(spark, "t")
     sstable.write_shards(empty, path, BYTE)
+    assert sstable.seek(spark, path, [1, None]) == []
     assert sstable.digest(spark, path).count() == 0
 
 
