@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from clausegraph.operators.ranking import fixed
 
-BLOCK, RUN = 2048, 8
+BLOCK, SIDE, CELLS = 2048, 1 << 16, 10
 
 
 def unit_blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -38,24 +39,60 @@ def unit_blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, k: int) -> DataFrame:
-    """(a, b, score): each row's k nearest rows by cosine, itself included; ties to the smaller id."""
+    """(a, b, score): each row's k nearest rows by cosine, itself included; ties to the smaller id. All vectors meet all, in a
+    grid whose cells hold ``SIDE`` vectors a side at most; a cell is a task and keeps k rows a vector, whatever it meets."""
     blocks = fixed(unit_blocks(vectors))
-    parts = max(1, -(-blocks.count() // RUN))
-    own, every = F.pmod(F.xxhash64("block"), F.lit(parts)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
-    # A grid: a cell joins about RUN blocks with RUN blocks, so no task meets them all.
-    left = blocks.select("dim", own.alias("i"), every.alias("j"), F.col("ids").alias("ids_a"), F.col("x").alias("x_a"))
-    right = blocks.select("dim", every.alias("i"), own.alias("j"), F.col("ids").alias("ids_b"), F.col("x").alias("x_b"))
+    total = blocks.agg(F.sum(F.octet_length("ids") / 8)).first()[0] or 0
+    parts = max(1, math.ceil(total / min(SIDE, max(BLOCK, total / CELLS))))
+    # A row a block: thousands of vectors.
+    place = blocks.select("block", ((F.row_number().over(Window.orderBy("block")) - 1) % parts).alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    dealt = blocks.join(F.broadcast(place), "block")
+    left, right = dealt.withColumn("other", every).withColumn("side", F.lit(0)), dealt.withColumn("other", every).withColumn("side", F.lit(1))
+    cell = F.when(F.col("side") == 0, F.col("own") * parts + F.col("other")).otherwise(F.col("other") * parts + F.col("own"))
+    cells = left.union(right).select(cell.cast("int").alias("cell"), "side", "dim", "ids", "x").repartitionById(parts * parts, F.col("cell")).sortWithinPartitions("side")
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[Nearest]] = {}
         for batch in batches:
-            for dim, a, x, b, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")
-                score = np.round(np.frombuffer(x).reshape(-1, dim) @ np.frombuffer(y).reshape(-1, dim).T, 9)
-                n = min(k, len(b))
-                order = np.lexsort((np.broadcast_to(b, score.shape), -score))[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, n)), pa.array(b[order].ravel()), pa.array(np.take_along_axis(score, order, axis=1).ravel())], ["a", "b", "score"])
-
-    # Blocks against blocks of the same dimension: a row stands for thousands of vectors.
-    pairs = left.join(right, ["dim", "i", "j"]).select("dim", "ids_a", "x_a", "ids_b", "x_b").mapInArrow(met, "a long, b long, score double")
+            for _, side, dim, ids, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, x = np.frombuffer(ids, "<i8"), np.frombuffer(x).reshape(-1, dim)
+                if side == 0:
+                    held.setdefault(dim, []).append(Nearest(ids, x, k))
+                    continue
+                for own in held.get(dim, []):
+                    own.meet(ids, x)
+        for own in (n for group in held.values() for n in group):
+            yield pa.RecordBatch.from_arrays([pa.array(own.ids[own.rows]), pa.array(own.found), pa.array(own.values)], ["a", "b", "score"])
+
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    return cells.mapInArrow(met, "a long, b long, score double").withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
+class Nearest:
+    """The k nearest so far of a block of unit vectors. Products in single precision exclude what cannot be among them; what is
+    left is measured in double precision, rounded to nine digits."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        self.ids, self.x, self.k, self.single = ids, x, k, x.astype("f4")
+        self.rows, self.found, self.values = np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0)
+        self.least = None  # of each row, once it has k
+
+    def meet(self, ids: np.ndarray, y: np.ndarray) -> None:
+        error = 1.2e-7 * (self.x.shape[1] + 4)  # twice what single precision may be off, of unit vectors
+        rough = self.single @ y.astype("f4").T
+        if self.least is not None:
+            least = self.least - 2e-9 - error
+        elif len(ids) > self.k:
+            least = np.partition(rough, len(ids) - self.k, axis=1)[:, len(ids) - self.k] - 2e-9 - 2 * error
+        else:
+            least = np.full(len(self.ids), -np.inf)
+        rows, cols = np.nonzero(rough >= least.astype("f4")[:, None] - np.float32(1e-7))
+        values = np.round(np.einsum("ij,ij->i", self.x[rows], y[cols]), 9)
+        rows, found, values = np.concatenate([self.rows, rows]), np.concatenate([self.found, ids[cols]]), np.concatenate([self.values, values])
+        order = np.lexsort((found, -values, rows))
+        rows = rows[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < self.k
+        self.rows, self.found, self.values = rows[kept], found[order][kept], values[order][kept]
+        if len(self.rows) == self.k * len(self.ids):
+            self.least = self.values[self.k - 1 :: self.k]
