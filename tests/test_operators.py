@@ -115,3 +115,10 @@ def test_files(spark, tmp_path):
         files.substituted(docs, "a.txt", "quatre", "4").collect()
     assert files.read_json(spark, str(tmp_path / "none.json"), "a int").count() == 0
     assert "&lt;b&gt;" in "".join(files.html_report(spark.createDataFrame([("<b>",)], "x string"), "r", ["x"]))
+
+
+def test_quantity_of_any_size(spark):
+    texts = ("Archivé pendant 3344906486400000000 ans.", "Remis sous 99999999999999999999 jours ouvrés.", "Contrôlé 0 fois par mois.", "Un bruit de 99999999999999999999 dB.", "Remis sous " + "9" * 400 + " jours.", "Archivé pendant 3 ans.")
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(extraction.quantity(F.col("text")).alias("q")).collect()
+    found = [r.q and (r.q["role"], r.q["si"], r.q["calendar_si"], r.q["status"]) for r in rows]
+    assert found == [("duree_conservation", None, None, "IMPRECIS"), ("delai", None, None, "IMPRECIS"), None, ("seuil_exposition", None, None, "IMPRECIS"), ("delai", None, None, "IMPRECIS"), ("duree_conservation", 94608000, None, "NORMAL")]
