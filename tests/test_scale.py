@@ -33,3 +33,17 @@ def test_dimension_channel_looks_at_few_rows_and_finds_the_same(spark):
     table = spark.createDataFrame(sorted((r for r in rows if r[3] == "r" and None not in r), key=lambda r: (r[5], r[0])), "id long, doc int, dimension string, role string, value int, weight double").coalesce(1).toArrow()
     alone = next(targeting.closest(table.to_batches(), 3))
     assert sum(b is None for b in alone["b"].to_pylist()) < 400
+
+
+def test_conceptual_channel_shuffles_no_pairs_and_finds_the_same(spark, monkeypatch):
+    monkeypatch.setattr(targeting, "SIDE", 70)
+    monkeypatch.setattr(targeting, "CELLS", 3)
+    rng = np.random.default_rng(3)
+    held = {f"c{i:03}": (None if i == 5 else int(rng.integers(9)), {int(c) for c in rng.integers(0, 60, 6)}) for i in range(200)}
+    idf = {c: 1.0 + c / 7 for c in range(61)}
+    rows = [(i, doc, f"w{c}", idf[c]) for i, (doc, own) in held.items() for c in own]
+    found = targeting.conceptual_channel(spark.createDataFrame([*rows, (None, 1, "w1", idf[1])], "id string, doc int, concept string, idf double"))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(a, b, round(sum(idf[c] for c in x & y), 6), len(x & y)) for a, (d, x) in held.items() for b, (e, y) in held.items() if a < b and None not in (d, e) and d != e and len(x & y) >= 2}
+    got = [(r.a, r.b, round(r.score, 6), r.shared) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
