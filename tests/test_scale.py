@@ -47,3 +47,10 @@ def test_conceptual_channel_shuffles_no_pairs_and_finds_the_same(spark, monkeypa
     want = {(a, b, round(sum(idf[c] for c in x & y), 6), len(x & y)) for a, (d, x) in held.items() for b, (e, y) in held.items() if a < b and None not in (d, e) and d != e and len(x & y) >= 2}
     got = [(r.a, r.b, round(r.score, 6), r.shared) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_group_pairs_are_dealt_to_many_tasks(spark):
+    rows = spark.createDataFrame([(i, i * 2.0, "x" if i < 90 else None) for i in range(100)], "k long, v double, g string")
+    pairs = targeting.group_pairs(rows, ["g"], "k", "v")
+    assert sorted((r.a, r.va, r.b, r.vb) for r in pairs.collect()) == [(a, a * 2.0, b, b * 2.0) for a in range(90) for b in range(a + 1, 90)]
+    assert pairs.rdd.getNumPartitions() == 192
