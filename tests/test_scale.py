@@ -54,3 +54,25 @@ def test_group_pairs_are_dealt_to_many_tasks(spark):
     pairs = targeting.group_pairs(rows, ["g"], "k", "v")
     assert sorted((r.a, r.va, r.b, r.vb) for r in pairs.collect()) == [(a, a * 2.0, b, b * 2.0) for a in range(90) for b in range(a + 1, 90)]
     assert pairs.rdd.getNumPartitions() == 192
+
+
+def test_alias_channel_shuffles_no_pairs_and_finds_the_same(spark, monkeypatch):
+    monkeypatch.setattr(targeting, "SIDE", 70)
+    monkeypatch.setattr(targeting, "CELLS", 3)
+    rng = np.random.default_rng(4)
+    held = {f"c{i:03}": (int(rng.integers(9)), {int(c) for c in rng.integers(0, 60, int(rng.integers(1, 7)))}) for i in range(200)}
+    idf = {c: 1.0 + c / 7 for c in range(60)}
+    aliases = [(1, 2), (2, 1), (3, 3), (4, 5), (5, 6), (59, 4), (7, 99), (98, 99)]
+    hop = {c: {c} | {y for x, y in aliases if x == c} | {x for x, y in aliases if y == c} for c in range(60)}
+    rows = [(i, doc, f"w{c}", idf[c]) for i, (doc, own) in held.items() for c in own]
+    mentions = spark.createDataFrame([*rows, (None, 1, "w1", idf[1]), ("c500", None, "w1", idf[1])], "id string, doc int, concept string, idf double")
+    found = targeting.alias_conceptual_channel(mentions, spark.createDataFrame([(f"w{x}", f"w{y}") for x, y in aliases], "a string, b string"))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for a, (d, x) in held.items():
+        for b, (e, y) in held.items():
+            met = {c: len(hop[c] & y) for c in x if hop[c] & y}
+            if a < b and d != e and len(met) >= 2:
+                want.add((a, b, round(sum(idf[c] * n for c, n in met.items()), 6), len(met)))
+    got = [(r.a, r.b, round(r.score, 6), r.shared) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
