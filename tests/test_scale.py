@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from clausegraph.operators import knn, targeting
+from clausegraph.operators import evaluation, knn, targeting
 
 
 def test_neighbours_keep_k_rows_a_vector_whatever_they_meet(spark):
@@ -76,3 +76,12 @@ def test_alias_channel_shuffles_no_pairs_and_finds_the_same(spark, monkeypatch):
                 want.add((a, b, round(sum(idf[c] * n for c, n in met.items()), 6), len(met)))
     got = [(r.a, r.b, round(r.score, 6), r.shared) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_contribution_tests_pairs_where_they_meet(spark):
+    rows = [(i % 290, "t" if i % 3 else None if i % 2 else "u", i % 4, None if i % 11 == 0 else f"b{i % 5}") for i in range(300)]
+    found = evaluation.contribution(spark.createDataFrame(rows, "id long, kind string, size int, brand string"), ["kind", "size"], "brand")
+    want = [(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] is not None and x[1:3] == y[1:3] and (None in (x[3], y[3]) or x[3] != y[3])]
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
