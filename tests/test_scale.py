@@ -1,8 +1,15 @@
 """Steps whose cost must follow the input: what they keep, and that they lose nothing by it."""
 
+import re
+from functools import reduce
+
 import numpy as np
+from pyspark.sql import functions as F
+
+from conftest import DATA
 
-from clausegraph.operators import evaluation, knn, targeting
+from clausegraph.operators import arbitration, consolidation, evaluation, knn, sentences, targeting
+from clausegraph.plans import catalog, decisions  # noqa: F401  (registers its queries in the catalogue)
 
 
 def test_neighbours_keep_k_rows_a_vector_whatever_they_meet(spark):
@@ -85,3 +92,46 @@ def test_contribution_tests_pairs_where_they_meet(spark):
     assert sorted((r.a, r.b) for r in found.collect()) == sorted(want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "Aggregate" not in plan
+
+
+PROSE = ("Wenn Élan s.t. wird, Art. Deux reste. Ça va ! Oui ?\n\n Cf. Annexe. " + "ononder bleer esnt haan a aterble reeaha ones ntor it wasshndti inganing haingon thntble shble nd heonin " * 20) * 500
+
+
+def test_sentences_look_back_only_at_ends(spark):
+    before = r"(?iu)" + sentences._NO_END + r"(?-i)(?<=[.!?])\s+(?=\p{Lu})"
+    texts = [PROSE[:3000], "A. B", "art. B. C", "x\n\tart.\n\nB", "Fin.  \r\n Élan. e. É ? \x0bÉ.", "123456789. A 1234567890. B", "", "   ", " . A"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    spaced = F.regexp_replace("text", r"\s{2,}|[\t\n\x0B\f\r]", " ")
+    for r in rows.select(F.split("text", before).alias("old"), sentences.sentences(F.col("text")).alias("new"), sentences.sentences(spaced).alias("spaced")).collect():
+        assert r.new == r.old and r.spaced == [re.sub(r"\s+", " ", x) for x in r.old]
+    assert sentences.BOUNDARY.index("[.!?]") < sentences.BOUNDARY.index(sentences._NO_END)
+
+
+def test_qualifies_matches_few_patterns_and_finds_the_same(spark):
+    old = lambda t: reduce(lambda x, y: x | y, [t.rlike(p if "A-Z" in p else "(?iu)" + p) for p in sentences.STATEMENTS])
+    words = "doit doivent devra peut peuvent est_interdit sont_obligatoire EST_REQUIS est_tenu_de est_chargé_de sont_autorisé EST_RECOMMANDÉ prévaut PRÉVALENT on_entend_par désigne s'entend_comme est_définie_comme signifie correspond_à «x» «» §_4 §4 ISO_9 AB-CD-12 article_R._4 quotidienne Journalier hebdomadaires mensuel bimestriel trimestriel semestriel annuel chaque tous_les Toutes_les rien"
+    texts = [t.replace("_", " ") for t in words.split()]
+    texts += [f + t for t in texts for f in ("x", "-")] + [t + "x" for t in texts] + [t.upper() for t in texts] + ["EST İNTERDİT", "peut".upper() + "ſ", "deſigne", "ſignifie", "déſigne", "menſuel", "quotıdien", "", "٣", PROSE[:5000]]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", old(F.col("t")).alias("old"), sentences.qualifies(F.col("t")).alias("new")).collect():
+        assert r.new == r.old, r.t
+    plan = spark.range(1).select(sentences.qualifies(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 + len(sentences.STEMS) and "Contains" in plan
+
+
+def test_entailment_cuts_each_text_once_a_side(spark):
+    plan = catalog.QUERIES["entailment_zones"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(text") == 2 == plan.count("split(")
+    rows = spark.createDataFrame([("a b c", "B d"), ("", "a"), (None, "a"), ("a a-b", "b.A")], "x string, y string")
+    x, y = F.col("x"), F.col("y")
+    got = rows.select(arbitration.overlap_score(x, y).alias("s"), arbitration.words_missing(arbitration.distinct_words(x), arbitration.distinct_words(y)).alias("w")).collect()
+    assert [r.s for r in got] == [r.w for r in got] and [round(r.s, 6) for r in got] == [0.666667, 0.0, 0.0, 0.0]
+
+
+def test_impact_streams_its_edges(spark, monkeypatch):
+    plans, keep = [], consolidation.stored
+    monkeypatch.setattr(consolidation, "stored", lambda df: (plans.append(df), keep(df))[1])
+    edges = [(1, 2), (2, 3), (3, 4), (1, 2), (2, 1), (3, None), (None, 4), (5, 5), (6, 7)]
+    got = consolidation.impact(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(1,), (1,), (5,), (9,)], "node long"), 2)
+    assert sorted((r.node, r.priority) for r in got.collect()) == [(1, 0), (2, 1), (3, 2), (5, 0), (9, 0)]
+    joins = [p._jdf.queryExecution().executedPlan().toString() for p in plans[1:]]
+    assert len(joins) == 2 and all("ShuffledHashJoin" in j and "Sort" not in j for j in joins)
